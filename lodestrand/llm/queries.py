@@ -9,6 +9,7 @@ from ..functions.text import BLANKS, PLACEHOLDERS
 from ..session import Workspace, table
 from .group_split import related_pairs, scaffold_split
 from .leaks import LeakIndex
+from .overlap import cross_split_pairs, overlap_report
 from .survivors import best_supported, surviving_records
 from .top_n import top_n_per_group
 
@@ -38,6 +39,25 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY target_chembl_id ORDER BY s
 """
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = cross_split_pairs(table(spark, sf_dir, "split_assignments"))
+    return pairs.select(F.least("train_uid", "other_uid").alias("row_uid_a"), F.greatest("train_uid", "other_uid").alias("row_uid_b"))
+
+
+def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap_report(table(spark, sf_dir, "split_assignments"))
+
+
+P2 = f"""
+WITH r AS (SELECT row_uid, concat_ws('|', lower(trim(task_name, {B})), lower(trim(split_strategy, {B})), lower(trim(split_id, {B})), lower(trim(fold_id, {B}))) AS p,
+    CASE lower(trim(split_label, {B})) WHEN 'train' THEN 'train' WHEN 'valid' THEN 'valid' WHEN 'validation' THEN 'valid' WHEN 'test' THEN 'test' END AS label,
+    lower({_present('compound_id', True)}) AS c, string_split(translate(standardized_smiles, {B}, ''), '.') AS parts, source_environment AS source FROM split_assignments),
+k AS (SELECT row_uid, p, label, c, source, nullif(list_filter(parts, lambda x: length(x) = list_max(list_transform(parts, lambda y: length(y))))[1], '') AS s FROM r WHERE label IS NOT NULL),
+pairs AS (SELECT a.row_uid AS t, b.row_uid AS o FROM k a JOIN k b ON a.p = b.p AND a.label = 'train' AND b.label <> 'train' WHERE a.c = b.c OR a.s = b.s
+    OR (abs(length(a.s) - length(b.s)) * 10 <= greatest(length(a.s), length(b.s)) AND levenshtein(a.s, b.s) * 10 <= greatest(length(a.s), length(b.s))))
+"""
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_supported(table(spark, sf_dir, "curated_measurements"))
 
@@ -102,10 +122,12 @@ eg AS (SELECT DISTINCT item_id, array_to_string(w[i:i+11], ' ') AS g FROM (SELEC
 SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)
 """
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_leaders, p4_found, p4_survivors, p5_found, p5_scaffold_split, p7_found, p7_proximity)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_leaders, p2_found, p2_report, p4_found, p4_survivors, p5_found, p5_scaffold_split, p7_found, p7_proximity)}
 SQL = {
     "p1_found": P1 + "SELECT target_chembl_id, screening_compound_id FROM ranked WHERE rank <= 5",
     "p1_leaders": P1 + "SELECT target_chembl_id, screening_compound_id, score, tie, rank FROM ranked WHERE rank <= 5",
+    "p2_found": P2 + "SELECT DISTINCT least(t, o) AS row_uid_a, greatest(t, o) AS row_uid_b FROM pairs",
+    "p2_report": P2 + "SELECT replace(p, '|', chr(31)) AS place, label, source, count(*) AS n_rows, count(h.o) AS n_overlapping FROM k LEFT JOIN (SELECT DISTINCT o FROM pairs) h ON k.row_uid = h.o WHERE label <> 'train' GROUP BY ALL",
     "p4_found": P4,
     "p5_found": P5,
     "p7_found": P7,

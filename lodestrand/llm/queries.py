@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.text import BLANKS, PLACEHOLDERS
 from ..session import Workspace, table
+from .abuse import rates, score_documents
 from .group_split import related_pairs, scaffold_split
 from .leaks import LeakIndex
 from .overlap import cross_split_pairs, overlap_report
+from .packing import fill_report, pack
 from .survivors import best_supported, surviving_records
 from .top_n import top_n_per_group
+from .varied_subset import varied_subset
 
 B = "concat(" + ", ".join(f"chr({ord(c)})" for c in BLANKS) + ")"
 WORDS = ", ".join(f"'{w}'" for w in PLACEHOLDERS)
@@ -58,6 +61,15 @@ pairs AS (SELECT a.row_uid AS t, b.row_uid AS o FROM k a JOIN k b ON a.p = b.p A
 """
 
 
+def p3_varied_48(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return varied_subset(table(spark, sf_dir, "final_shortlist"), 48)
+
+
+def p3_varied_tenth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shortlist = table(spark, sf_dir, "final_shortlist")
+    return varied_subset(shortlist, -(-shortlist.count() // 10))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_supported(table(spark, sf_dir, "curated_measurements"))
 
@@ -122,7 +134,37 @@ eg AS (SELECT DISTINCT item_id, array_to_string(w[i:i+11], ' ') AS g FROM (SELEC
 SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)
 """
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_leaders, p2_found, p2_report, p4_found, p4_survivors, p5_found, p5_scaffold_split, p7_found, p7_proximity)}
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_report(pack(table(spark, sf_dir, "documents")))
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "content_labels"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).where("abusive").select("doc_id")
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir)
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rates(_scored(spark, sf_dir))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_leaders, p2_found, p2_report, p3_varied_48, p3_varied_tenth, p4_found, p4_survivors, p5_found, p5_scaffold_split,
+        p6_containers, p6_fill, p7_found, p7_proximity, p8_found, p8_scores, p8_rates,
+    )
+}
 SQL = {
     "p1_found": P1 + "SELECT target_chembl_id, screening_compound_id FROM ranked WHERE rank <= 5",
     "p1_leaders": P1 + "SELECT target_chembl_id, screening_compound_id, score, tie, rank FROM ranked WHERE rank <= 5",

@@ -1,4 +1,8 @@
 """All queries of the core with their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from .plans import facts, models, rankings
+
+QUERIES: dict = facts.QUERIES | models.QUERIES | rankings.QUERIES
+SQL: dict = facts.SQL | models.SQL | rankings.SQL

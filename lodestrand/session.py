@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -65,11 +66,16 @@ class Workspace:
             if not quiet:
                 raise
 
-    def cut(self, df: DataFrame, name: str | None = None) -> DataFrame:
-        """`df` written once and read back."""
+    def cut(self, df: DataFrame, name: str | None = None, **options: str) -> DataFrame:
+        """`df` written once and read back. The shuffles it came from can be freed from then on."""
         path = f"{self.root}/{name or uuid.uuid4().hex}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").options(**options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        """Frees the shuffle files of finished work now: they go when the driver's JVM collects their handles."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, name: str) -> None:
         self._remove(f"{self.root}/{name}")

@@ -41,50 +41,47 @@ class LeakIndex:
         self.broadcast = small_enough(vocabulary, broadcast_terms)
         side = F.broadcast(vocabulary) if self.broadcast else vocabulary
         postings = documents.select("doc_id", F.posexplode(words(F.col("text"))).alias("pos", "term")).join(side, "term").select("term_id", "doc_id", "pos")
-        self.postings = workspace.cut(postings.sortWithinPartitions("term_id"), "postings")
+        self.postings = workspace.cut(postings.sortWithinPartitions("term_id"), "postings", compression="zstd")
         counts = self.postings.groupBy("term_id").agg(F.count("*").alias("n"))
         self.terms = workspace.cut(self.item_terms.join(vocabulary, "term").join(counts, "term_id", "left").select("item_id", "ipos", "term_id", F.coalesce("n", F.lit(0)).alias("n")), "terms-counted")
         self.spark = spark
 
-    def seeds(self) -> DataFrame:
-        """(term_id, item_id, ipos): for every `run` consecutive words of an item, its word with the fewest postings."""
+    def windows(self, k: int) -> DataFrame:
+        """(item_id, first, rare): for every `run` consecutive words of an item, from word `first` on, its `k` words with
+        the fewest postings as (ipos, term_id). Windows with a word the corpus lacks can't occur and are left out."""
         w = W.partitionBy("item_id").orderBy("ipos")
-        last = F.max("ipos").over(W.partitionBy("item_id"))
+        around = F.collect_list(F.struct("n", "ipos", "term_id")).over(w.rowsBetween(0, self.run - 1))
         return (
-            self.terms.withColumn("best", F.min(F.struct("n", "ipos", "term_id")).over(w.rowsBetween(0, self.run - 1)))
-            .withColumn("last", last)
-            .where(F.col("ipos") + self.run - 1 <= F.col("last"))
-            .where("best.n > 0")
-            .select("best.term_id", "item_id", "best.ipos")
-            .distinct()
+            self.terms.withColumn("around", F.array_sort(around))
+            .where((F.size("around") == self.run) & (F.col("around")[0]["n"] > 0))
+            .select("item_id", F.col("ipos").alias("first"), F.transform(F.slice("around", 1, k), lambda x: F.struct(x["ipos"].alias("ipos"), x["term_id"].alias("term_id"))).alias("rare"))
         )
 
-    def matches(self) -> DataFrame:
+    def matches(self, rarest: int = 2) -> DataFrame:
         """(doc_id, item_id, words): the longest run of consecutive words of the item in the document, from `run` on.
 
-        The postings of each window's rarest word give (document, item, offset) candidates; the lists of the words
-        within `run` of it are shifted by the same offset and intersected, and unbroken rows of positions are
-        measured. Exact: every run of `run` words contains the rarest word of its window.
+        The posting lists of every window's `rarest` words, shifted by the word's place in the item, are intersected: at an
+        offset where they don't all meet the window doesn't occur. For the windows that are left, the lists of all their
+        words are shifted and intersected, and unbroken rows of positions are measured. Exact: a run of `run` words
+        or more is a row of windows, and each holds its rarest words.
         """
-        r = self.run
-        seeds = self.workspace.cut(self.seeds(), "seeds")
-        wanted = seeds.select("term_id").distinct()
-        rare = self.postings.join(F.broadcast(wanted) if self.broadcast else wanted, "term_id", "left_semi")
-        at = rare.join(F.broadcast(seeds) if self.broadcast else seeds, "term_id").select("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("shift"), "ipos")
-        near = self.terms.select("item_id", F.col("ipos").alias("jpos"), F.col("term_id").alias("other"))
-        spots = self.workspace.cut(at.distinct(), "spots")
-        hoods = (
-            spots.join(near, "item_id")
-            .where(F.col("jpos").between(F.col("ipos") - (r - 1), F.col("ipos") + (r - 1)))
-            .select("doc_id", "item_id", "shift", "jpos", F.col("other").alias("term_id"), (F.col("jpos") + F.col("shift")).alias("pos"))
-            .distinct()
-        )
-        docs = spots.select("doc_id").distinct()
-        lists = self.postings.join(docs, "doc_id", "left_semi")
-        hit = hoods.join(lists, ["doc_id", "term_id", "pos"]).select("doc_id", "item_id", "shift", "jpos").distinct()
-        line = W.partitionBy("doc_id", "item_id", "shift").orderBy("jpos")
+        ws, r = self.workspace, self.run
+        windows = ws.cut(self.windows(min(rarest, r)), "windows")
+        marks = windows.select("item_id", F.explode("rare").alias("m")).select("item_id", "m.ipos", "m.term_id").distinct()
+        met = self.postings.join(F.broadcast(marks) if self.broadcast else marks, "term_id").select("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("shift"), "ipos")
+        met = met.groupBy("doc_id", "item_id", "shift").agg(F.collect_list("ipos").alias("met")).where(F.size("met") >= min(rarest, r))
+        wanted = windows.groupBy("item_id").agg(F.collect_list(F.struct("first", F.col("rare.ipos").alias("rare"))).alias("windows"))
+        whole = F.filter("windows", lambda w: F.size(F.array_except(w["rare"], F.col("met"))) == 0)
+        spots = met.join(wanted, "item_id").withColumn("whole", whole).where(F.size("whole") > 0)
+        places = F.array_distinct(F.flatten(F.transform("whole", lambda w: F.sequence(w["first"], w["first"] + r - 1))))
+        spots = ws.cut(spots.select("doc_id", "item_id", "shift", places.alias("places")), "spots", compression="zstd")
+        ws.release()
+        lists = self.postings.join(spots.select("doc_id").distinct(), "doc_id", "left_semi")
+        near = spots.select("doc_id", "item_id", "shift", F.explode("places").alias("ipos")).join(self.terms.select("item_id", "ipos", "term_id"), ["item_id", "ipos"])
+        hit = near.withColumn("pos", F.col("ipos") + F.col("shift")).join(lists, ["doc_id", "term_id", "pos"]).select("doc_id", "item_id", "shift", "ipos")
+        line = W.partitionBy("doc_id", "item_id", "shift").orderBy("ipos")
         return (
-            hit.withColumn("line", F.col("jpos") - F.row_number().over(line))
+            hit.withColumn("line", F.col("ipos") - F.row_number().over(line))
             .groupBy("doc_id", "item_id", "shift", "line")
             .agg(F.count("*").alias("words"))
             .where(F.col("words") >= r)

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .windows import average_rank
 
@@ -104,6 +105,6 @@ def t_two_sided(t: float, df: float) -> float:
     return front * _beta_fraction(a, b, x) / a if x < (a + 1.0) / (a + b + 2.0) else 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([t_two_sided(a, b) if a == a and a is not None and b > 0 else None for a, b in zip(t, df, strict=True)], dtype="float64")

@@ -81,9 +81,10 @@ class LeakIndex:
         hit = near.withColumn("pos", F.col("ipos") + F.col("shift")).join(lists, ["doc_id", "term_id", "pos"]).select("doc_id", "item_id", "shift", "ipos")
         line = W.partitionBy("doc_id", "item_id", "shift").orderBy("ipos")
         return (
-            hit.withColumn("line", F.col("ipos") - F.row_number().over(line))
+            # Repeated documents give a place twice; its rank and the ends of the row are the same.
+            hit.withColumn("line", F.col("ipos") - F.dense_rank().over(line))
             .groupBy("doc_id", "item_id", "shift", "line")
-            .agg(F.count("*").alias("words"))
+            .agg((F.max("ipos") - F.min("ipos") + 1).alias("words"))
             .where(F.col("words") >= r)
             .groupBy("doc_id", "item_id")
             .agg(F.max("words").alias("words"))

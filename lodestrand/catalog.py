@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import facts, models, rankings
+from .plans import facts, models, quality, rankings
 
-QUERIES: dict = facts.QUERIES | models.QUERIES | rankings.QUERIES
-SQL: dict = facts.SQL | models.SQL | rankings.SQL
+QUERIES: dict = facts.QUERIES | models.QUERIES | rankings.QUERIES | quality.QUERIES
+SQL: dict = facts.SQL | models.SQL | rankings.SQL | quality.SQL

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrand.functions import features, text
-from lodestrand.operators import clean, labels, measures, metrics, models, pairs, shortlist, splits, windows
+from lodestrand.operators import clean, labels, measures, metrics, models, pairs, quality, shortlist, splits, windows
 
 
 def rows(df):
@@ -177,3 +177,15 @@ def test_pipeline_and_batches(spark):
 
     got = models.predict_batches(df, cloudpickle.dumps(Doubler()), ["a", "b"], ["a", "c"])
     assert got.where("reason = 'missing_feature' AND score IS NULL").count() == 8 and got.where("score = 2 * a").count() == 32
+
+
+def test_policies(spark):
+    df = spark.createDataFrame([("Ki", 1), ("IC50", 2), (None, 3)], "t string, v int")
+    assert quality.endpoint_policy(df, "t", "proceed").count() == 3 and quality.endpoint_policy(df, "t", "filter", ["Ki"]).count() == 1
+    for policy, allowed in (("error", ()), ("filter", ["EC50"]), ("other", ())):
+        with pytest.raises(ValueError):
+            quality.endpoint_policy(df, "t", policy, allowed)
+    assert quality.column_check(df, ["t", "w"], ["t"]) == [("w", "warning")]
+    with pytest.raises(ValueError):
+        quality.column_check(df, ["t", "w"], ["w"])
+    assert {r["t"]: r["t_code"] for r in quality.binary_codes(df, "t").collect()} == {"IC50": 0, "Ki": 1, None: None}

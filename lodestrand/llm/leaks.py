@@ -25,8 +25,8 @@ class LeakIndex:
 
     `documents`: (doc_id, text); `items`: (item_id, text). Null and empty texts have no words and match nothing; repeated
     rows give the same matches once. Documents are read once and whole; each task writes its postings sorted by term, so
-    that a search for few terms skips most of the stored blocks. `broadcast_terms`: the items' vocabulary is broadcast
-    only up to so many terms; beyond that the postings are joined to it by a shuffle.
+    that a search for few terms skips most of the stored blocks. `broadcast_terms`: the items' vocabulary and
+    rare words are broadcast only where the items have up to so many words; beyond that they are joined by a shuffle.
     """
 
     def __init__(self, documents: DataFrame, items: DataFrame, workspace: Workspace, run: int = 12, broadcast_terms: int = 200_000):
@@ -38,7 +38,7 @@ class LeakIndex:
         vocabulary = workspace.cut(
             self.item_terms.select("term").distinct().coalesce(1).withColumn("term_id", F.monotonically_increasing_id().cast("int")), "terms"
         )
-        self.broadcast = small_enough(vocabulary, broadcast_terms)
+        self.broadcast = small_enough(self.item_terms, broadcast_terms)
         side = F.broadcast(vocabulary) if self.broadcast else vocabulary
         postings = documents.select("doc_id", F.posexplode(words(F.col("text"))).alias("pos", "term")).join(side, "term").select("term_id", "doc_id", "pos")
         self.postings = workspace.cut(postings.sortWithinPartitions("term_id"), "postings", compression="zstd")

@@ -109,7 +109,7 @@ def plan_containers(histogram: np.ndarray, bounds: list[int], capacity: int) ->
 
 def pack(documents: DataFrame, capacity: int = 2048, buckets: int = 16, tokenizer_dir: str = TOKENIZER_DIR, chunk_rows: int = 50_000, workspace: Workspace | None = None) -> DataFrame:
     """(container_id, bucket, doc_id, part, first_token, n_tokens): every document with tokens, whole in one container of
-    at most `capacity` tokens; a longer one is cut into full containers and a rest that is packed like the others.
+    at most `capacity` tokens; a longer one is cut into full containers and a rest that is packed like the other items.
 
     Documents without tokens (null or empty text) take no space and do not come out; an empty table gives no rows;
     repeated rows are items of their own. Only the histogram, with `capacity` counts, goes to the driver. Container numbers
@@ -119,12 +119,11 @@ def pack(documents: DataFrame, capacity: int = 2048, buckets: int = 16, tokenize
     spark = documents.sparkSession
     ws = workspace or Workspace(spark, "pack")
     counts = ws.cut(token_counts(documents, tokenizer_dir), "counts")
-    full = (F.col("n_tokens") / capacity).cast("int")
-    whole = counts.where(F.col("n_tokens") >= capacity).select("doc_id", "n_tokens", F.posexplode(F.sequence(F.lit(1), full)).alias("part", "x"))
-    rest = counts.withColumn("first_token", full * capacity).withColumn("length", F.col("n_tokens") - F.col("first_token")).where("length > 0")
+    part = F.explode(F.sequence(F.lit(0), ((F.col("n_tokens") - 1) / capacity).cast("int")))
+    cut = counts.where("n_tokens > 0").withColumn("part", part).withColumn("first_token", F.col("part") * capacity)
     rows = counts.count()
     chunks = max(1, -(-rows // chunk_rows))
-    item = rest.select("doc_id", "n_tokens", "first_token", "length", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(chunks)).cast("int").alias("chunk"))
+    item = cut.select("doc_id", "part", "first_token", F.least(F.col("n_tokens") - F.col("first_token"), F.lit(capacity)).alias("length"), F.pmod(F.xxhash64("doc_id", "n_tokens", "part"), F.lit(chunks)).cast("int").alias("chunk"))
     per_chunk = ws.cut(item.groupBy("length", "chunk").agg(F.count("*").alias("n")), "per-chunk")
     histogram = np.zeros(capacity + 1, np.int64)
     for r in per_chunk.groupBy("length").agg(F.sum("n").alias("n")).collect():
@@ -153,15 +152,7 @@ def pack(documents: DataFrame, capacity: int = 2048, buckets: int = 16, tokenize
     placed = item.withColumn("inside", inside).join(offset, ["length", "chunk"]).withColumn("place", F.col("before") + F.col("inside")).join(F.broadcast(table), "length")
     i = F.size(F.filter("ends", lambda e: e <= F.col("place")))
     placed = placed.withColumn("i", i).withColumn("container_id", F.get("firsts", F.col("i")) + ((F.col("place") - F.get("starts", F.col("i"))) / F.get("each", F.col("i"))).cast("long"))
-    packed = placed.select(
-        "container_id", "bucket", "doc_id", (F.col("first_token") / capacity).cast("int").alias("part"), "first_token", F.col("length").alias("n_tokens")
-    )
-    long_parts = whole.select(
-        # Full containers of cut documents are numbered below zero, by document and part.
-        (-(F.abs(F.xxhash64("doc_id", "part") % F.lit(1 << 62)) + 1)).alias("container_id"), F.lit(len(bounds)).alias("bucket"), "doc_id", "part",
-        (F.col("part") * capacity).cast("int").alias("first_token"), F.lit(capacity).alias("n_tokens"),
-    )
-    return packed.unionByName(long_parts)
+    return placed.select("container_id", "bucket", "doc_id", "part", "first_token", F.col("length").alias("n_tokens"))
 
 
 def fill_report(packed: DataFrame, capacity: int = 2048) -> DataFrame:

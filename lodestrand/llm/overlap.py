@@ -1,4 +1,4 @@
-"""Problem 2: the same or nearly the same records across splits, by content-defined chunks."""
+"""Problem 2: the same or nearly the same records across splits, by pieces that edits cannot all reach."""
 
 from __future__ import annotations
 
@@ -103,71 +103,208 @@ def chunk_runs(texts: pa.Array, lengths: tuple[int, ...], window: int = 3, divis
     return (text, starts - begin[text], ends - starts, *digests, counts)
 
 
-def postings(records: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
-    """(id, size, start, own, d0, ...) of every chunk of `records` (id, record) that has all digests of `lengths`."""
+GRAM, STEP, SLOTS = 8, 16, 1 << 20
+
+
+def allowed(n: np.ndarray, share: float) -> np.ndarray:
+    """The edits that a text of n characters allows as the longer of a pair."""
+    return (share * n + 1e-9).astype(np.int64)
+
+
+def piece_length(n: np.ndarray, share: float) -> np.ndarray:
+    """Length of the pieces of a text of n characters, such that one more of them than allowed edits fit in side by side."""
+    return np.minimum(GRAM, n // (allowed(n, share) + 1))
+
+
+def _grams(codes: np.ndarray, q: int) -> np.ndarray:
+    """Digests of the q characters from each place of the joined texts; those that run over a text's end are of no use."""
+    d = np.full(max(0, len(codes) - q + 1), q, np.uint64)
+    for i in range(q):
+        d = d * np.uint64(_BASE) + codes[i : i + len(d)]
+    return _mixed(d)
+
+
+def _keys(gram: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """Of a digest and the step of `STEP` characters that it starts in."""
+    return _mixed(gram ^ (step.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+
+
+def _codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    sizes = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    codes = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    return codes, sizes, np.concatenate([[0], np.cumsum(sizes)])
+
+
+def gram_places(texts: pa.Array, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, start, key) of every run of a length that pieces of an equally long or longer partner may have."""
+    codes, sizes, begin = _codes(texts)
+    longest = int(sizes.max(initial=0) / (1 - share)) + 2
+    n = np.arange(longest + 1)
+    k, q = allowed(n, share), piece_length(n, share)
+    out = []
+    for length in np.unique(q[k > 0]):
+        # Text sizes that have a partner with pieces of this length: n >= size >= n - k.
+        asked = np.zeros(longest + 2, np.int64)
+        mine = np.flatnonzero((q == length) & (k > 0))
+        np.add.at(asked, mine - k[mine], 1)
+        np.add.at(asked, mine + 1, -1)
+        runs = np.where(np.cumsum(asked)[sizes] > 0, np.maximum(0, sizes - length + 1), 0)
+        if not runs.sum():
+            continue
+        text = np.repeat(np.arange(len(sizes)), runs)
+        start = np.arange(len(text)) - np.repeat(np.cumsum(runs) - runs, runs)
+        out.append((text, start, _keys(_grams(codes, int(length))[begin[text] + start], start // STEP)))
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else none
+
+
+def _steps(start: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last step in which the copy of a piece may start: a partner that is not longer has it at most k before
+    the piece and k / 2 behind it."""
+    return np.maximum(0, start - k) // STEP, (start + k // 2) // STEP
+
+
+def chosen_pieces(texts: pa.Array, share: float, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, start) of the pieces of each text: one more than the edits it allows, side by side, so that any
+    text within these edits, and not longer, has one of them unchanged. Of all such choices the one with the least sum of
+    `counts`."""
+    codes, sizes, begin = _codes(texts)
+    k, q = allowed(sizes, share), piece_length(sizes, share)
+    out = []
+    for length in np.unique(q[k > 0]):
+        rows = np.flatnonzero((q == length) & (k > 0))
+        g, length, size, kk = _grams(codes, int(length)), int(length), sizes[rows], k[rows]
+        width, most = int(size.max()), int(kk.max()) + 1
+        start = np.arange(width - length + 1)
+        gram = g[np.minimum(begin[rows][:, None] + start, len(g) - 1)]
+        first, last = _steps(start, kk[:, None])
+        cost = np.zeros(gram.shape, np.float32)
+        for i in range(int((last - first).max()) + 1):
+            cost += np.where(first + i <= last, counts[(_keys(gram, first + i) % np.uint64(SLOTS)).astype(np.int64)], 0)
+        best = np.full((width + 1, len(rows), most + 1), np.inf, np.float32)
+        best[:, :, 0] = 0
+        taken = np.zeros((width + 1, len(rows), most + 1), bool)
+        for e in range(length, width + 1):
+            use = best[e - length, :, :-1] + cost[:, e - length, None]
+            taken[e, :, 1:] = use < best[e - 1, :, 1:]
+            best[e, :, 1:] = np.minimum(use, best[e - 1, :, 1:])
+        at, left, every = size.copy(), kk + 1, np.arange(len(rows))
+        while (left > 0).any():
+            use = (left > 0) & taken[np.maximum(at, 0), every, left]
+            i = every[use]
+            at = np.where(use, at - length, at - (left > 0))
+            left = left - use
+            out.append((rows[i], at[i]))
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (none, none)
+
+
+def piece_places(texts: pa.Array, share: float, text: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, start, key) of chosen pieces, with a key for each step in which a copy may start."""
+    codes, sizes, begin = _codes(texts)
+    k, q = allowed(sizes, share)[text], piece_length(sizes, share)[text]
+    first, last = _steps(start, k)
+    out = []
+    for length in np.unique(q):
+        g, mine = _grams(codes, int(length)), q == length
+        for i in range(int((last - first)[mine].max()) + 1):
+            on = np.flatnonzero(mine & (first + i <= last))
+            out.append((text[on], start[on], _keys(g[begin[text[on]] + start[on]], first[on] + i)))
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else none
+
+
+def _bags(texts: pa.Array) -> np.ndarray:
+    """Counts of the characters by 16 classes, a byte each, in two words."""
+    codes, sizes, _ = _codes(texts)
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    kind = ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(60)).astype(np.int64)
+    n = np.bincount(text * 16 + kind, minlength=16 * len(sizes)).reshape(-1, 16)
+    return np.minimum(n, 255).astype(np.uint8).view(np.int64)
+
+
+def near_records(records: DataFrame, workspace: Workspace, share: float = 0.1, passes: int = 6, blocks: int = 3) -> DataFrame:
+    """Pairs (id_a < id_b, distance) of `records` (id, record) within an edit distance of `share` of the longer: all of them.
+
+    A text of n characters that allows k edits is cut into k + 1 pieces side by side; edits reach at most k of them, so a
+    partner that is not longer holds one unchanged, shifted by no more than the edits. Pieces are joined with all runs of
+    the partner by digest and place. Which pieces are taken is free, and goes by counts of a sample: rare ones cost less.
+    That, and no limit on how many records share a run, keeps crowded runs cheap; no pair depends on it. In the join, pairs
+    fall away whose lengths, places or characters differ by more than allowed; then the edit distance decides, in `blocks`.
+
+    With the columns `train` and `other` (sets of places as bits) only pairs are compared in which a place of one side's
+    `train` is in the other side's `other`. Digests are joined in `passes`, so that disk is bounded by a part of them.
+    """
+    spark = records.sparkSession
+    roles = [c for c in ("train", "other") if c in records.columns]
+    some = max(1, records.count() // 50_000)
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(SLOTS, np.int32)
         for batch in batches:
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
-            text, start, own, *digests, sizes = chunk_runs(batch.column("record"), lengths)
-            keep = digests[-1] != 0
-            text = text[keep]
-            cols = [ids[text], sizes[text].astype(np.int32), start[keep].astype(np.int32), own[keep].astype(np.int32), *[d[keep] for d in digests]]
-            names = ["id", "size", "start", "own", *(f"d{i}" for i in range(len(digests)))]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
-
-    schema = "id long, size int, start int, own int, " + ", ".join(f"d{i} long" for i in range(len(lengths)))
-    return records.mapInArrow(emit, schema)
-
-
-def near_records(
-    records: DataFrame, workspace: Workspace, share: float = 0.1, lengths: tuple[int, ...] = (12, 20, 32), common: tuple[int, ...] = (16, 64),
-    broadcast_keys: int = 1_000_000, blocks: int = 3,
-) -> DataFrame:
-    """Pairs (id_a < id_b, overlap, distance) of `records` (id, record) within an edit distance of `share` of the longer.
-
-    Digests of chunk runs are joined. A digest that more records hold than `common` has for its length is not joined itself: its places go on
-    with the next, longer run, and at the last length every digest is joined, whatever holds it. So a stretch that many
-    records share costs no more than others, while a family of near-copies, alike over its whole length, still meets.
-    Of two places with an equal run, the differences in what lies before and after them are edits too; pairs that need
-    more than allowed fall away inside the join. Shared chunk lengths are summed to the overlap, as a fraction of the
-    longer record, and the edit distance decides, in `blocks` of pairs one after the other. No record holds a digest often, so no key has a large part of the rows.
-
-    Digests are broadcast only where `broadcast_keys` of them hold all; beyond that they are joined by a shuffle.
-
-    Not a guarantee for every conceivable pair: one is missed if its edits leave no common run that is rare. Measured
-    rates are in the README.
-    """
-    fits = lambda x: x.limit(broadcast_keys + 1).count() <= broadcast_keys
+            n += np.bincount((gram_places(batch.column("record"), share)[2] % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array([n.tobytes()], pa.binary())], names=["n"])
+
+    sample = records.where(F.pmod("id", F.lit(some)) == 0).select("record").coalesce(8).mapInArrow(count, "n binary").toLocalIterator()
+    counts = spark.sparkContext.broadcast(sum((np.frombuffer(r["n"], np.int32) for r in sample), np.zeros(SLOTS, np.int32)))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                text, start = chosen_pieces(batch.column("record"), share, counts.value)
+                start = start[np.argsort(text, kind="stable")].astype(np.int32)
+                n = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=batch.num_rows))])
+                pieces = pa.array([start[i:j].tobytes() for i, j in zip(n[:-1], n[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("id", "record", *roles)] + [pieces], names=["id", "record", *roles, "pieces"])
+
+    chosen = records.select("id", "record", *roles).mapInArrow(choose, "id long, record string" + "".join(f", {c} long" for c in roles) + ", pieces binary")
+    chosen = workspace.cut(chosen, "pieces", compression="zstd")
+
+    def emit(pieces: bool, part: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 2000):
+                    batch = whole.slice(at, 2000)
+                    texts = batch.column("record")
+                    if pieces:
+                        starts = [np.frombuffer(x, np.int32) for x in batch.column("pieces").to_pylist()]
+                        text, start = np.repeat(np.arange(len(starts)), [*map(len, starts)]), np.concatenate(starts).astype(np.int64)
+                        text, start, key = piece_places(texts, share, text, start)
+                    else:
+                        text, start, key = gram_places(texts, share)
+                    keep = (key >> np.uint64(40)) % np.uint64(passes) == part
+                    text, bags = text[keep], _bags(texts)
+                    sizes = pc.utf8_length(texts).to_numpy(zero_copy_only=False)
+                    cols = [key[keep].view(np.int64), start[keep].astype(np.int32), sizes[text].astype(np.int32), bags[text, 0], bags[text, 1]]
+                    cols += [batch.column(c).to_numpy(zero_copy_only=False)[text] for c in ("id", *roles)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
+
+        return run
+
+    names = ["key", "start", "size", "bag0", "bag1", "id", *roles]
+    schema = "key long, start int, size int, bag0 long, bag1 long, id long" + "".join(f", {c} long" for c in roles)
     within = lambda n: (F.lit(share) * n + F.lit(1e-9)).cast("int")
-    found, hot = [], None
-    for level in range(len(lengths)):
-        p = postings(records, lengths[max(0, level - 1) : level + 1])
-        if hot is not None:
-            # A run that is common has a common beginning, so the level before this one is all that is asked.
-            p = p.join(hot.withColumnRenamed("digest", "d0"), "d0", "left_semi")
-        p = p.select(F.col(f"d{min(level, 1)}").alias("digest"), "id", "size", "start", "own")
-        held = workspace.cut(p.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1"), f"digests-{level}")
-        workspace.release()
-        useful = held
-        if level < len(lengths) - 1:
-            useful = held.where(F.col("n") <= common[level])
-            most = held.where(F.col("n") > common[level]).select("digest")
-            hot = F.broadcast(most) if fits(most) else most
-        keys, few = useful.select("digest"), fits(useful)
-        if not few and level < len(lengths) - 1:
-            p = p.join(hot, "digest", "left_anti")
-        # Most digests are held once; where the others are few enough to be broadcast, only their places are shuffled.
-        p = p.join(F.broadcast(keys) if few else keys, "digest", "left_semi")
-        q = p.select("digest", *[F.col(c).alias(f"{c}_b") for c in ("id", "size", "start")])
-        k = within(F.greatest("size", "size_b"))
-        ahead, longer = F.col("start") - F.col("start_b"), F.col("size") - F.col("size_b")
-        met = p.join(q, "digest").where((F.col("id") < F.col("id_b")) & (F.abs(ahead) + F.abs(longer - ahead) <= k))
-        met = met.select(F.col("id").alias("id_a"), "id_b", (F.col("own") / F.greatest("size", "size_b")).cast("float").alias("overlap"))
-        found.append(workspace.cut(met.groupBy("id_a", "id_b").agg(F.sum("overlap").alias("overlap")), f"met-{level}"))
+
+    def met(part: int) -> DataFrame:
+        a = chosen.drop("pieces").mapInArrow(emit(False, part), schema)
+        b = chosen.mapInArrow(emit(True, part), schema).select("key", *[F.col(c).alias(f"{c}_b") for c in names[1:]])
+        ahead, longer, k = F.col("start") - F.col("start_b"), F.col("size") - F.col("size_b"), within(F.col("size_b"))
+        # Of two that are equally long, either's pieces do.
+        close = ((F.col("size") < F.col("size_b")) | ((longer == 0) & (F.col("id") < F.col("id_b")))) & (F.abs(ahead) + F.abs(longer - ahead) <= k)
+        if roles:
+            close &= (F.col("train").bitwiseAND(F.col("other_b")) != 0) | (F.col("other").bitwiseAND(F.col("train_b")) != 0)
+        of = lambda c, i: F.shiftrightunsigned(c, 8 * i).bitwiseAND(F.lit(255).cast("long"))
+        more = [F.greatest(of(f"bag{w}_b", i) - of(f"bag{w}", i), F.lit(0).cast("long")) for w in (0, 1) for i in range(8)]
+        near = a.join(b, "key").where(close & (reduce(lambda x, y: x + y, more) <= k))
+        return near.select(F.least("id", "id_b").alias("id_a"), F.greatest("id", "id_b").alias("id_b")).distinct()
+
+    found = []
+    for part in range(passes):
+        found.append(workspace.cut(met(part), f"met-{part}"))
         workspace.release()
-    pairs = reduce(DataFrame.unionByName, found).groupBy("id_a", "id_b").agg(F.sum("overlap").alias("overlap"))
-    pairs = workspace.cut(pairs, "met")
+    pairs = workspace.cut(reduce(DataFrame.unionByName, found).distinct(), "met")
+    workspace.release()
     a = records.select(F.col("id").alias("id_a"), F.col("record").alias("a"))
     b = records.select(F.col("id").alias("id_b"), F.col("record").alias("b"))
     longest = int(share * (records.agg(F.max(F.length("record"))).first()[0] or 0)) + 1
@@ -177,14 +314,13 @@ def near_records(
         here = b.where(F.pmod("id_b", F.lit(blocks)) == block)
         both = part.join(a, "id_a").join(here, "id_b").withColumn("k", within(F.greatest(F.length("a"), F.length("b"))))
         both = both.withColumn("distance", bounded_distance(F.col("a"), F.col("b"), F.col("k"), longest))
-        done.append(workspace.cut(both.where("distance IS NOT NULL AND a <> b").select("id_a", "id_b", "overlap", "distance"), f"near-{block}"))
+        done.append(workspace.cut(both.where("distance IS NOT NULL AND a <> b").select("id_a", "id_b", "distance"), f"near-{block}"))
         workspace.release()
-    near = reduce(DataFrame.unionByName, done)
-    for level in range(len(lengths)):
-        workspace.drop(f"met-{level}")
-        workspace.drop(f"digests-{level}")
+    for part in range(passes):
+        workspace.drop(f"met-{part}")
     workspace.drop("met")
-    return near
+    workspace.drop("pieces")
+    return reduce(DataFrame.unionByName, done)
 
 
 USABLE = "row_uid IS NOT NULL AND place IS NOT NULL AND label IS NOT NULL"
@@ -209,12 +345,14 @@ def cross_split_pairs(splits: DataFrame, workspace: Workspace | None = None) ->
     equal compound id, or with an equal or nearly equal structure. Pairs come once; missing ids and structures match
     nothing; an empty table gives no rows.
 
-    Structures are chunked once each, however many rows hold them, and rows are paired afterwards by equi-joins on
+    Structures are compared once each, however many rows hold them, and rows are paired afterwards by equi-joins on
     place and digest; adaptive execution splits the places and compounds that hold most of the rows.
     """
     ws = workspace or Workspace(splits.sparkSession, "overlap")
     full = ws.cut(labelled_rows(splits).withColumn("id", F.xxhash64("record")), "rows", compression="zstd").where(USABLE)
-    records = ws.cut(full.select("id", "record").where("record IS NOT NULL").distinct(), "records", compression="zstd")
+    bit = F.expr("shiftleft(1L, CAST(pmod(xxhash64(place), 64) AS INT))")
+    places = [F.bit_or(F.when(cond, bit).otherwise(F.lit(0).cast("long"))).alias(c) for c, cond in (("train", F.col("label") == "train"), ("other", F.col("label") != "train"))]
+    records = ws.cut(full.where("record IS NOT NULL").groupBy("id", "record").agg(*places), "records", compression="zstd")
     ws.release()
     rows = full.select("row_uid", "place", (F.col("label") == "train").alias("train"), "compound", "id", F.col("record").isNotNull().alias("known"))
     near = near_records(records, ws).select("id_a", "id_b")

@@ -30,3 +30,10 @@ def test_pairs_at_the_full_tenth(spark):
         texts |= {base, "".join(spread), *(edited(rng, base, len(base) // 10) for _ in range(3))}
     got, true = found_and_true(spark, sorted(texts))
     assert got == true and len(true) >= 120
+
+
+def test_a_crowded_family(spark):
+    rng = random.Random(12)
+    base = "".join(rng.choice(LETTERS) for _ in range(60))
+    got, true = found_and_true(spark, sorted({base, *(edited(rng, base, 3) for _ in range(80))}))
+    assert got == true and len(true) >= 1000

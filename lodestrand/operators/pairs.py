@@ -52,8 +52,12 @@ def tanimoto(a: Column, b: Column) -> Column:
 
 
 def sign_bits(vector: Column) -> Column:
-    """One 64-bit word of the signs of a vector of at most 63 counted entries."""
-    return F.array(F.aggregate(F.transform(vector, lambda x, i: F.when(x > 0, F.shiftleft(F.lit(1).cast("long"), 0) * F.pow(F.lit(2.0), i).cast("long")).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x)))
+    """The signs of a vector of any length as 64-bit words, entry i in bit i % 64 of word i // 64."""
+    zero = F.lit(0).cast("long")
+    one = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i % 64)
+    bits = F.transform(vector, lambda x, i: F.when(x > 0, one(i)).otherwise(zero))
+    word = lambda w: F.aggregate(F.slice(bits, w * 64 + 1, F.lit(64)), zero, lambda s, x: s.bitwiseOR(x))
+    return F.when(F.size(vector) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(vector) - 1) / 64).cast("int")), word)).when(vector.isNotNull(), F.array(zero))
 
 
 def similar_pairs(items: DataFrame, group: str, item: str, bits: str, least: float, most_pairs: int | None = None) -> DataFrame:

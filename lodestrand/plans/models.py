@@ -141,13 +141,14 @@ s AS (SELECT a.label, a.id AS item_1, b.id AS item_2, bit_count(a.b & b.b) / (bi
 
 
 def fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    """Sign bits of the first 63 of the 64 entries only, as the given SQL has them."""
     v = F.slice("embedding", 1, 63)
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", pairs.sign_bits(v).alias("bits"))
 
 
 @query(f"WITH {SIMILAR} SELECT label, item_1, item_2, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.45")
 def similar_items(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of one label by Tanimoto similarity of sign bits."""
+    """Pairs of one label by Tanimoto similarity of the sign bits of the first 63 entries, as the given SQL defines it."""
     return rounded(pairs.similar_pairs(fingerprints(spark, d), "label", "id", "bits", 0.45))
 
 

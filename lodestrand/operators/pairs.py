@@ -60,8 +60,9 @@ def sign_bits(vector: Column) -> Column:
     return F.when(F.size(vector) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(vector) - 1) / 64).cast("int")), word)).when(vector.isNotNull(), F.array(zero))
 
 
-def similar_pairs(items: DataFrame, group: str, item: str, bits: str, least: float, most_pairs: int | None = None) -> DataFrame:
-    """Pairs of a group with a Tanimoto similarity of `least` or more. Groups with more than `most_pairs` pairs are left out
+def similar_pairs(items: DataFrame, group: str, item: str, bits: str, least: float, most_pairs: int | None = None, value: str | None = None, least_difference: float = 0.0) -> DataFrame:
+    """Pairs of a group with a Tanimoto similarity of `least` or more. With `value`, its absolute difference must be
+    `least_difference` or more too, and comes out as `difference`: activity cliffs. Groups with more than `most_pairs` pairs are left out
     before the join when that is asked for (a guard that the caller sets, not a default)."""
     if most_pairs is not None:
         n = F.count("*").over(W.partitionBy(group))
@@ -69,10 +70,13 @@ def similar_pairs(items: DataFrame, group: str, item: str, bits: str, least: flo
     # Tanimoto is at most the smaller number of bits over the larger one.
     ones = F.aggregate(F.col(bits), F.lit(0), lambda s, x: s + F.bit_count(x))
     x = items.withColumn("__ones", ones)
-    a = x.select(group, F.col(item).alias("item_1"), F.col(bits).alias("b1"), F.col("__ones").alias("o1"))
-    b = x.select(group, F.col(item).alias("item_2"), F.col(bits).alias("b2"), F.col("__ones").alias("o2"))
+    a = x.select(group, F.col(item).alias("item_1"), F.col(bits).alias("b1"), F.col("__ones").alias("o1"), *([F.col(value).alias("v1")] if value else []))
+    b = x.select(group, F.col(item).alias("item_2"), F.col(bits).alias("b2"), F.col("__ones").alias("o2"), *([F.col(value).alias("v2")] if value else []))
     close = (F.col("item_1") < F.col("item_2")) & (F.least("o1", "o2") >= F.lit(least) * F.greatest("o1", "o2"))
-    return a.join(b, group).where(close).withColumn("similarity", tanimoto(F.col("b1"), F.col("b2"))).where(F.col("similarity") >= least).select(group, "item_1", "item_2", "similarity")
+    p = a.join(b, group).where(close)
+    if value:
+        p = p.withColumn("difference", F.abs(F.col("v1") - F.col("v2"))).where((F.col("difference") >= least_difference) & ~F.isnan("difference"))
+    return p.withColumn("similarity", tanimoto(F.col("b1"), F.col("b2"))).where(F.col("similarity") >= least).select(group, "item_1", "item_2", "similarity", *(["difference"] if value else []))
 
 
 def pair_flags(pairs: DataFrame, group: str) -> DataFrame:

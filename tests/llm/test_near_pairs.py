@@ -37,3 +37,14 @@ def test_a_crowded_family(spark):
     base = "".join(rng.choice(LETTERS) for _ in range(60))
     got, true = found_and_true(spark, sorted({base, *(edited(rng, base, 3) for _ in range(80))}))
     assert got == true and len(true) >= 1000
+
+
+def test_short_structures_and_ends(spark):
+    rng = random.Random(13)
+    texts = set()
+    for n in range(9, 45):
+        base = "".join(rng.choice(LETTERS) for _ in range(n))
+        mid = n // 2
+        texts |= {base, base[:mid] + "#" + base[mid + 1 :], base[:mid] + "#" + base[mid:], base[:-1] + "#", base[1:]}
+    got, true = found_and_true(spark, sorted(texts))
+    assert got == true and len(true) >= 100

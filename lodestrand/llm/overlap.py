@@ -1,20 +1,19 @@
-"""Problem 2: the same or nearly the same records across splits, by pieces that edits cannot all reach."""
+"""Problem 2: the same or nearly the same records across splits, by content-defined chunks and their digests."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import BLANKS, PLACEHOLDERS, present
 from ..session import Workspace
+from .near import Texts, mixed, near_records, spread
 
-LABELS = {"train": "train", "valid": "valid", "validation": "valid", "test": "test"}
+__all__ = ["cross_split_pairs", "labelled_rows", "near_records", "overlap_fractions", "overlap_report"]
 
 
 def with_largest_component(df: DataFrame, smiles: str, out: str) -> DataFrame:
@@ -27,302 +26,6 @@ def with_largest_component(df: DataFrame, smiles: str, out: str) -> DataFrame:
     return df.withColumn(out, F.when(F.col("__one") != "", F.col("__one"))).drop("__s", "__one")
 
 
-def bounded_distance(a: Column, b: Column, k: Column, longest: int) -> Column:
-    """The edit distance where it is at most k, else null. Only a band around the diagonal is worked out; its width is a
-    literal in Spark, so pairs are told apart by classes of k."""
-    bands = [4]
-    while bands[-1] < longest:
-        bands.append(bands[-1] + max(1, bands[-1] // 12))
-    out = None
-    for band in bands:
-        d = F.levenshtein(a, b, band)
-        out = F.when(k <= band, d) if out is None else out.when(k <= band, d)
-    return F.when((out >= 0) & (out <= k), out)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(31))
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(32))
-
-
-_BASE = 0x100000001B3
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, kept by the worker process."""
-    if len(_powers[0]) < n:
-        n = max(n, 1 << 20)
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
-            t = np.full(n, base, np.uint64)
-            t[0] = 1
-            _powers[i] = np.multiply.accumulate(t)
-    return _powers
-
-
-def chunk_runs(texts: pa.Array, lengths: tuple[int, ...], window: int = 3, divisor: int = 4) -> tuple[np.ndarray, ...]:
-    """Content-defined chunks of `texts`: (text number, start, own length, one digest column for each of `lengths`), and
-    at the end the texts' sizes.
-
-    A text is cut after a character where the rolling hash of the `window` characters that end there falls into one of
-    `divisor` equal ranges; so equal stretches are cut alike wherever they stand. The digest for length n is of the run of
-    whole chunks from a start that is the shortest with n characters or more; it is 0 where the text ends before that.
-    """
-    joined = "".join(texts.to_pylist())
-    counts = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
-    a = np.frombuffer(joined.encode("latin-1"), np.uint8).astype(np.uint32) if joined.isascii() else np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    begin = np.concatenate([[0], np.cumsum(counts)])
-    total = int(begin[-1])
-    if not total:
-        none = np.zeros(0, np.int64)
-        return (none, none, none, *[none for _ in lengths], counts)
-    rolled = a.copy()
-    for _ in range(window - 1):
-        # The hash of the window that ends here, from that of the one a character before.
-        rolled[1:] = rolled[:-1] * np.uint32(0x01000193) + a[1:]
-    cut = rolled * np.uint32(0x9E3779B1) < np.uint32((1 << 32) // divisor)
-    full = begin[:-1][counts > 0]
-    for k in range(window - 1):
-        cut[np.minimum(full + k, total - 1)] = False
-    cut[begin[1:][counts > 0] - 1] = True
-    ends = np.flatnonzero(cut) + 1
-    starts = np.concatenate([[0], ends[:-1]])
-    text = np.repeat(np.arange(len(counts)), np.diff(np.searchsorted(starts, begin)))
-    powers, inverse = _power_tables(total + 1)
-    sums = np.zeros(total + 1, np.uint64)
-    np.cumsum((a + np.uint32(7)) * powers[:total], out=sums[1:])
-    digests = []
-    for n in lengths:
-        stop = ends[np.minimum(np.searchsorted(ends, starts + n), len(ends) - 1)]
-        d = (sums[stop] - sums[starts]) * inverse[starts]
-        d = _mixed(d ^ ((stop - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-        digests.append(np.where(starts + n <= begin[text + 1], d, np.uint64(0)).view(np.int64))
-    return (text, starts - begin[text], ends - starts, *digests, counts)
-
-
-GRAM, STEP, SLOTS = 8, 16, 1 << 20
-
-
-def allowed(n: np.ndarray, share: float) -> np.ndarray:
-    """The edits that a text of n characters allows as the longer of a pair."""
-    return (share * n + 1e-9).astype(np.int64)
-
-
-def piece_length(n: np.ndarray, share: float) -> np.ndarray:
-    """Length of the pieces of a text of n characters, such that one more of them than allowed edits fit in side by side."""
-    return np.minimum(GRAM, n // (allowed(n, share) + 1))
-
-
-def _grams(codes: np.ndarray, q: int) -> np.ndarray:
-    """Digests of the q characters from each place of the joined texts; those that run over a text's end are of no use."""
-    d = np.full(max(0, len(codes) - q + 1), q, np.uint64)
-    for i in range(q):
-        d = d * np.uint64(_BASE) + codes[i : i + len(d)]
-    return _mixed(d)
-
-
-def _keys(gram: np.ndarray, step: np.ndarray) -> np.ndarray:
-    """Of a digest and the step of `STEP` characters that it starts in."""
-    return _mixed(gram ^ (step.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-
-
-def _codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    sizes = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
-    codes = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    return codes, sizes, np.concatenate([[0], np.cumsum(sizes)])
-
-
-def gram_places(texts: pa.Array, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, start, key) of every run of a length that pieces of an equally long or longer partner may have."""
-    codes, sizes, begin = _codes(texts)
-    longest = int(sizes.max(initial=0) / (1 - share)) + 2
-    n = np.arange(longest + 1)
-    k, q = allowed(n, share), piece_length(n, share)
-    out = []
-    for length in np.unique(q[k > 0]):
-        # Text sizes that have a partner with pieces of this length: n >= size >= n - k.
-        asked = np.zeros(longest + 2, np.int64)
-        mine = np.flatnonzero((q == length) & (k > 0))
-        np.add.at(asked, mine - k[mine], 1)
-        np.add.at(asked, mine + 1, -1)
-        runs = np.where(np.cumsum(asked)[sizes] > 0, np.maximum(0, sizes - length + 1), 0)
-        if not runs.sum():
-            continue
-        text = np.repeat(np.arange(len(sizes)), runs)
-        start = np.arange(len(text)) - np.repeat(np.cumsum(runs) - runs, runs)
-        out.append((text, start, _keys(_grams(codes, int(length))[begin[text] + start], start // STEP)))
-    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else none
-
-
-def _steps(start: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last step in which the copy of a piece may start: a partner that is not longer has it at most k before
-    the piece and k / 2 behind it."""
-    return np.maximum(0, start - k) // STEP, (start + k // 2) // STEP
-
-
-def chosen_pieces(texts: pa.Array, share: float, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, start) of the pieces of each text: one more than the edits it allows, side by side, so that any
-    text within these edits, and not longer, has one of them unchanged. Of all such choices the one with the least sum of
-    `counts`."""
-    codes, sizes, begin = _codes(texts)
-    k, q = allowed(sizes, share), piece_length(sizes, share)
-    out = []
-    for length in np.unique(q[k > 0]):
-        rows = np.flatnonzero((q == length) & (k > 0))
-        g, length, size, kk = _grams(codes, int(length)), int(length), sizes[rows], k[rows]
-        width, most = int(size.max()), int(kk.max()) + 1
-        start = np.arange(width - length + 1)
-        gram = g[np.minimum(begin[rows][:, None] + start, len(g) - 1)]
-        first, last = _steps(start, kk[:, None])
-        cost = np.zeros(gram.shape, np.float32)
-        for i in range(int((last - first).max()) + 1):
-            cost += np.where(first + i <= last, counts[(_keys(gram, first + i) % np.uint64(SLOTS)).astype(np.int64)], 0)
-        best = np.full((width + 1, len(rows), most + 1), np.inf, np.float32)
-        best[:, :, 0] = 0
-        taken = np.zeros((width + 1, len(rows), most + 1), bool)
-        for e in range(length, width + 1):
-            use = best[e - length, :, :-1] + cost[:, e - length, None]
-            taken[e, :, 1:] = use < best[e - 1, :, 1:]
-            best[e, :, 1:] = np.minimum(use, best[e - 1, :, 1:])
-        at, left, every = size.copy(), kk + 1, np.arange(len(rows))
-        while (left > 0).any():
-            use = (left > 0) & taken[np.maximum(at, 0), every, left]
-            i = every[use]
-            at = np.where(use, at - length, at - (left > 0))
-            left = left - use
-            out.append((rows[i], at[i]))
-    none = np.zeros(0, np.int64)
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (none, none)
-
-
-def piece_places(texts: pa.Array, share: float, text: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, start, key) of chosen pieces, with a key for each step in which a copy may start."""
-    codes, sizes, begin = _codes(texts)
-    k, q = allowed(sizes, share)[text], piece_length(sizes, share)[text]
-    first, last = _steps(start, k)
-    out = []
-    for length in np.unique(q):
-        g, mine = _grams(codes, int(length)), q == length
-        for i in range(int((last - first)[mine].max()) + 1):
-            on = np.flatnonzero(mine & (first + i <= last))
-            out.append((text[on], start[on], _keys(g[begin[text[on]] + start[on]], first[on] + i)))
-    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else none
-
-
-def _bags(texts: pa.Array) -> np.ndarray:
-    """Counts of the characters by 16 classes, a byte each, in two words."""
-    codes, sizes, _ = _codes(texts)
-    text = np.repeat(np.arange(len(sizes)), sizes)
-    kind = ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(60)).astype(np.int64)
-    n = np.bincount(text * 16 + kind, minlength=16 * len(sizes)).reshape(-1, 16)
-    return np.minimum(n, 255).astype(np.uint8).view(np.int64)
-
-
-def near_records(records: DataFrame, workspace: Workspace, share: float = 0.1, passes: int = 6, blocks: int = 3) -> DataFrame:
-    """Pairs (id_a < id_b, distance) of `records` (id, record) within an edit distance of `share` of the longer: all of them.
-
-    A text of n characters that allows k edits is cut into k + 1 pieces side by side; edits reach at most k of them, so a
-    partner that is not longer holds one unchanged, shifted by no more than the edits. Pieces are joined with all runs of
-    the partner by digest and place. Which pieces are taken is free, and goes by counts of a sample: rare ones cost less.
-    That, and no limit on how many records share a run, keeps crowded runs cheap; no pair depends on it. In the join, pairs
-    fall away whose lengths, places or characters differ by more than allowed; then the edit distance decides, in `blocks`.
-
-    With the columns `train` and `other` (sets of places as bits) only pairs are compared in which a place of one side's
-    `train` is in the other side's `other`. Digests are joined in `passes`, so that disk is bounded by a part of them.
-    """
-    spark = records.sparkSession
-    roles = [c for c in ("train", "other") if c in records.columns]
-    some = max(1, records.count() // 50_000)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(SLOTS, np.int32)
-        for batch in batches:
-            n += np.bincount((gram_places(batch.column("record"), share)[2] % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array([n.tobytes()], pa.binary())], names=["n"])
-
-    sample = records.where(F.pmod("id", F.lit(some)) == 0).select("record").coalesce(8).mapInArrow(count, "n binary").toLocalIterator()
-    counts = spark.sparkContext.broadcast(sum((np.frombuffer(r["n"], np.int32) for r in sample), np.zeros(SLOTS, np.int32)))
-
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                text, start = chosen_pieces(batch.column("record"), share, counts.value)
-                start = start[np.argsort(text, kind="stable")].astype(np.int32)
-                n = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=batch.num_rows))])
-                pieces = pa.array([start[i:j].tobytes() for i, j in zip(n[:-1], n[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("id", "record", *roles)] + [pieces], names=["id", "record", *roles, "pieces"])
-
-    chosen = records.select("id", "record", *roles).mapInArrow(choose, "id long, record string" + "".join(f", {c} long" for c in roles) + ", pieces binary")
-    chosen = workspace.cut(chosen, "pieces", compression="zstd")
-
-    def emit(pieces: bool, part: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for at in range(0, whole.num_rows, 2000):
-                    batch = whole.slice(at, 2000)
-                    texts = batch.column("record")
-                    if pieces:
-                        starts = [np.frombuffer(x, np.int32) for x in batch.column("pieces").to_pylist()]
-                        text, start = np.repeat(np.arange(len(starts)), [*map(len, starts)]), np.concatenate(starts).astype(np.int64)
-                        text, start, key = piece_places(texts, share, text, start)
-                    else:
-                        text, start, key = gram_places(texts, share)
-                    keep = (key >> np.uint64(40)) % np.uint64(passes) == part
-                    text, bags = text[keep], _bags(texts)
-                    sizes = pc.utf8_length(texts).to_numpy(zero_copy_only=False)
-                    cols = [key[keep].view(np.int64), start[keep].astype(np.int32), sizes[text].astype(np.int32), bags[text, 0], bags[text, 1]]
-                    cols += [batch.column(c).to_numpy(zero_copy_only=False)[text] for c in ("id", *roles)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
-
-        return run
-
-    names = ["key", "start", "size", "bag0", "bag1", "id", *roles]
-    schema = "key long, start int, size int, bag0 long, bag1 long, id long" + "".join(f", {c} long" for c in roles)
-    within = lambda n: (F.lit(share) * n + F.lit(1e-9)).cast("int")
-
-    def met(part: int) -> DataFrame:
-        a = chosen.drop("pieces").mapInArrow(emit(False, part), schema)
-        b = chosen.mapInArrow(emit(True, part), schema).select("key", *[F.col(c).alias(f"{c}_b") for c in names[1:]])
-        ahead, longer, k = F.col("start") - F.col("start_b"), F.col("size") - F.col("size_b"), within(F.col("size_b"))
-        # Of two that are equally long, either's pieces do.
-        close = ((F.col("size") < F.col("size_b")) | ((longer == 0) & (F.col("id") < F.col("id_b")))) & (F.abs(ahead) + F.abs(longer - ahead) <= k)
-        if roles:
-            close &= (F.col("train").bitwiseAND(F.col("other_b")) != 0) | (F.col("other").bitwiseAND(F.col("train_b")) != 0)
-        of = lambda c, i: F.shiftrightunsigned(c, 8 * i).bitwiseAND(F.lit(255).cast("long"))
-        more = [F.greatest(of(f"bag{w}_b", i) - of(f"bag{w}", i), F.lit(0).cast("long")) for w in (0, 1) for i in range(8)]
-        near = a.join(b, "key").where(close & (reduce(lambda x, y: x + y, more) <= k))
-        return near.select(F.least("id", "id_b").alias("id_a"), F.greatest("id", "id_b").alias("id_b")).distinct()
-
-    found = []
-    for part in range(passes):
-        found.append(workspace.cut(met(part), f"met-{part}"))
-        workspace.release()
-    pairs = workspace.cut(reduce(DataFrame.unionByName, found).distinct(), "met")
-    workspace.release()
-    a = records.select(F.col("id").alias("id_a"), F.col("record").alias("a"))
-    b = records.select(F.col("id").alias("id_b"), F.col("record").alias("b"))
-    longest = int(share * (records.agg(F.max(F.length("record"))).first()[0] or 0)) + 1
-    done = []
-    for block in range(blocks):
-        part = pairs.where(F.pmod("id_b", F.lit(blocks)) == block)
-        here = b.where(F.pmod("id_b", F.lit(blocks)) == block)
-        both = part.join(a, "id_a").join(here, "id_b").withColumn("k", within(F.greatest(F.length("a"), F.length("b"))))
-        both = both.withColumn("distance", bounded_distance(F.col("a"), F.col("b"), F.col("k"), longest))
-        done.append(workspace.cut(both.where("distance IS NOT NULL AND a <> b").select("id_a", "id_b", "distance"), f"near-{block}"))
-        workspace.release()
-    for part in range(passes):
-        workspace.drop(f"met-{part}")
-    workspace.drop("met")
-    workspace.drop("pieces")
-    return reduce(DataFrame.unionByName, done)
-
-
 USABLE = "row_uid IS NOT NULL AND place IS NOT NULL AND label IS NOT NULL"
 
 
@@ -331,7 +34,8 @@ def labelled_rows(splits: DataFrame) -> DataFrame:
     one of these four have no place, rows with another label or none no label; see USABLE. The filter is left to the
     caller, who applies it to the written rows: before them it would work out every text twice."""
     low = {c: F.lower(present(F.col(c))) for c in ("task_name", "split_strategy", "split_id", "fold_id", "split_label")}
-    label = F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv])[low.pop("split_label")]
+    label = low.pop("split_label")
+    label = F.when(label == "train", "train").when(label.isin("valid", "validation"), "valid").when(label == "test", "test")
     parts = [x for c in low.values() for x in (c, F.lit("\x1f"))][:-1]
     rows = splits.select(
         "row_uid", F.concat(*parts).alias("place"), label.alias("label"), F.col("source_environment").alias("source"),
@@ -340,35 +44,110 @@ def labelled_rows(splits: DataFrame) -> DataFrame:
     return with_largest_component(rows, "standardized_smiles", "record").drop("standardized_smiles")
 
 
+def _digests(*of: Column) -> Column:
+    """128 bits that stand for the values: equal ones are taken to be the same."""
+    return F.struct(F.xxhash64(*of).alias("k1"), F.xxhash64(F.lit(7), *of).alias("k2"))
+
+
+def _written(splits: DataFrame, ws: Workspace) -> DataFrame:
+    rows = labelled_rows(splits).withColumn("id", F.when(F.col("record").isNotNull(), F.xxhash64("record")))
+    return ws.cut(rows, "rows", compression="zstd").where(USABLE)
+
+
+def _row_pairs(rows: DataFrame, ws: Workspace) -> DataFrame:
+    """Pairs of written rows; see cross_split_pairs."""
+    bit = F.expr("shiftleft(1L, CAST(pmod(xxhash64(place), 64) AS INT))")
+    places = [F.bit_or(F.when(F.col("label") == x, bit).otherwise(F.lit(0).cast("long")) if x else F.when(F.col("label") != "train", bit).otherwise(F.lit(0).cast("long"))).alias(c) for c, x in (("train", "train"), ("other", None))]
+    records = ws.cut(rows.where("id IS NOT NULL").groupBy("id", "record").agg(*places), "records", compression="zstd")
+    if not records.groupBy("id").count().where("count > 1").isEmpty():
+        raise RuntimeError("two structures have the same 64-bit digest; number them with another seed")
+    near = ws.cut(near_records(records, ws).select("id_a", "id_b"), "near")
+    ws.drop("records")
+    ways = near.unionByName(near.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b")))
+    keys = lambda side, name: side.select(
+        F.col("row_uid").alias(name), F.explode(F.array(F.when(F.col("compound").isNotNull(), _digests(F.lit("c"), "place", "compound")), F.when(F.col("id").isNotNull(), _digests(F.lit("s"), "place", "id")))).alias("k")
+    ).where("k IS NOT NULL").select(name, "k.*")
+    train, other = rows.where("label = 'train'"), rows.where("label <> 'train'")
+    moved = other.select(F.col("row_uid").alias("other_uid"), "place", F.col("id").alias("id_a")).join(ways, "id_a").select("other_uid", _digests(F.lit("s"), F.col("place"), F.col("id_b")).alias("k")).select("other_uid", "k.*")
+    return keys(train, "train_uid").join(keys(other, "other_uid").unionByName(moved), ["k1", "k2"]).select("train_uid", "other_uid").distinct()
+
+
 def cross_split_pairs(splits: DataFrame, workspace: Workspace | None = None) -> DataFrame:
     """(train_uid, other_uid): a training row and a valid or test row of the same task, strategy, split and fold with an
-    equal compound id, or with an equal or nearly equal structure. Pairs come once; missing ids and structures match
-    nothing; an empty table gives no rows.
+    equal compound id, or with an equal or nearly equal structure. Pairs come once, repeated rows too; missing ids and
+    structures match nothing; an empty table gives no rows; other columns are ignored.
 
-    Structures are compared once each, however many rows hold them, and rows are paired afterwards by equi-joins on
-    place and digest; adaptive execution splits the places and compounds that hold most of the rows.
+    Structures are compared once each, however many rows hold them, and rows are paired afterwards by an equi-join on
+    digests of place and compound, or place and structure; adaptive execution splits the keys that hold most of the rows.
     """
     ws = workspace or Workspace(splits.sparkSession, "overlap")
-    full = ws.cut(labelled_rows(splits).withColumn("id", F.xxhash64("record")), "rows", compression="zstd").where(USABLE)
-    bit = F.expr("shiftleft(1L, CAST(pmod(xxhash64(place), 64) AS INT))")
-    places = [F.bit_or(F.when(cond, bit).otherwise(F.lit(0).cast("long"))).alias(c) for c, cond in (("train", F.col("label") == "train"), ("other", F.col("label") != "train"))]
-    records = ws.cut(full.where("record IS NOT NULL").groupBy("id", "record").agg(*places), "records", compression="zstd")
-    ws.release()
-    rows = full.select("row_uid", "place", (F.col("label") == "train").alias("train"), "compound", "id", F.col("record").isNotNull().alias("known"))
-    near = near_records(records, ws).select("id_a", "id_b")
-    ways = near.unionByName(near.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b")))
-    train = rows.where("train").select(F.col("row_uid").alias("train_uid"), "place", "compound", "id", "known")
-    other = rows.where("NOT train").select(F.col("row_uid").alias("other_uid"), "place", "compound", "id", "known")
-    same = train.select("train_uid", "place", "compound").join(other.select("other_uid", "place", "compound"), ["place", "compound"])
-    known = other.where("known").select("other_uid", "place", "id")
-    moved = known.join(ways, known["id"] == ways["id_a"]).select("other_uid", "place", F.col("id_b").alias("id"))
-    alike = train.where("known").select("train_uid", "place", "id").join(known.unionByName(moved), ["place", "id"])
-    return same.select("train_uid", "other_uid").unionByName(alike.select("train_uid", "other_uid")).distinct()
+    return _row_pairs(_written(splits, ws), ws)
+
+
+def content_chunks(texts: pa.Array, divisor: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Content-defined chunks of `texts`: (text number, start, length, digest).
+
+    A text is cut behind a character where the rolling hash of the three characters that end there falls into the lowest of
+    `divisor` equal ranges; so equal stretches are cut alike wherever they stand, and edits change the chunks they touch.
+    """
+    t = Texts.of(texts)
+    total = len(t.codes)
+    if not total:
+        none = np.zeros(0, np.int64)
+        return none, none, none, none
+    c = t.codes.astype(np.int64)
+    rolled = np.zeros(total, np.int64)
+    rolled[2:] = (((c[:-2] * 31 + c[1:-1]) * 31 + c[2:]) * 40503) % 65536
+    cut = rolled * divisor < 65536
+    full = t.begin[t.size > 0]
+    for k in (0, 1):
+        cut[np.minimum(full + k, total - 1)] = False
+    cut[(t.begin + t.size)[t.size > 0] - 1] = True
+    ends = np.flatnonzero(cut) + 1
+    starts = np.concatenate([[0], ends[:-1]])
+    text = np.repeat(np.arange(len(t.size)), np.diff(np.searchsorted(starts, np.concatenate([t.begin, [total]]))))
+    # Digests of whole chunks, from sums of characters times powers of the base, which roll from chunk to chunk.
+    length = ends - starts
+    owner, i = spread(length)
+    power = np.cumprod(np.full(int(length.max()), 0x100000001B3, np.uint64))
+    value = np.add.reduceat((c + 7).astype(np.uint64) * power[i], starts)
+    return text, starts - t.begin[text], length, mixed(value ^ length.astype(np.uint64)).view(np.int64)
+
+
+def overlap_fractions(pairs: DataFrame, records: DataFrame) -> DataFrame:
+    """(id_a, id_b, overlap) of `pairs` (id_a, id_b): the share of b's characters that lie in chunks which a has too. Chunks
+    of `records` (id, record) are cut by content, joined by digest, and their lengths summed up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, _, length, digest = content_chunks(batch.column("record"))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(text)), pa.array(digest), pa.array(length)], names=["id", "digest", "n"])
+
+    needed = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
+    chunks = records.join(needed, "id", "left_semi").select("id", "record").mapInArrow(run, "id long, digest long, n long").groupBy("id", "digest").agg(F.sum("n").alias("n"))
+    whole = chunks.groupBy("id").agg(F.sum("n").alias("whole"))
+    a, b = chunks.select(F.col("id").alias("id_a"), "digest"), chunks.select(F.col("id").alias("id_b"), "digest", "n")
+    shared = pairs.join(a, "id_a").join(b, ["id_b", "digest"]).groupBy("id_a", "id_b").agg(F.sum("n").alias("n"))
+    return shared.join(whole.withColumnRenamed("id", "id_b"), "id_b").select("id_a", "id_b", (F.col("n") / F.col("whole")).alias("overlap"))
 
 
 def overlap_report(splits: DataFrame, workspace: Workspace | None = None) -> DataFrame:
-    """For each place, label and source: the rows, and those that repeat a training row."""
+    """For each place, label and source: the rows, those that repeat a training row, and how much of their structures is
+    overlapped: the mean over these rows of the largest share of characters in chunks that the training structure has too.
+    Rows that repeat one by compound only, and whose structures are missing or share no chunk, count as 0."""
     ws = workspace or Workspace(splits.sparkSession, "overlap")
-    hit = cross_split_pairs(splits, ws).select(F.col("other_uid").alias("row_uid")).distinct().withColumn("hit", F.lit(1))
-    rows = ws.cut(labelled_rows(splits), "reported").where(USABLE).where("label <> 'train'").select("row_uid", "place", "label", "source")
-    return rows.join(hit, "row_uid", "left").groupBy("place", "label", "source").agg(F.count("*").alias("n_rows"), F.count("hit").alias("n_overlapping"))
+    rows = _written(splits, ws)
+    pairs = ws.cut(_row_pairs(rows, ws), "pairs")
+    ids = rows.select("row_uid", "id")
+    known = (
+        pairs.join(ids.select(F.col("row_uid").alias("train_uid"), F.col("id").alias("id_a")), "train_uid")
+        .join(ids.select(F.col("row_uid").alias("other_uid"), F.col("id").alias("id_b")), "other_uid")
+    )
+    known = ws.cut(known.select("other_uid", "id_a", "id_b").distinct(), "known")
+    structures = known.where("id_a IS NOT NULL AND id_b IS NOT NULL").select("id_a", "id_b").distinct()
+    share = overlap_fractions(structures, rows.where("id IS NOT NULL").select("id", "record").distinct())
+    hit = known.join(share, ["id_a", "id_b"], "left").groupBy(F.col("other_uid").alias("row_uid")).agg(F.max(F.coalesce("overlap", F.lit(0.0))).alias("overlap"))
+    other = rows.where("label <> 'train'").select("row_uid", "place", "label", "source")
+    return other.join(hit, "row_uid", "left").groupBy("place", "label", "source").agg(
+        F.count("*").alias("n_rows"), F.count("overlap").alias("n_overlapping"), F.round(F.avg("overlap"), 6).alias("mean_overlap")
+    )

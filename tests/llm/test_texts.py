@@ -54,7 +54,7 @@ def test_overlap_cases(spark):
     assert sorted(tuple(r) for r in overlap.cross_split_pairs(df).collect()) == [("a", x) for x in "bcdj"]
     assert overlap.cross_split_pairs(df.limit(0)).count() == 0
     report = overlap.overlap_report(df).collect()
-    assert [(r["n_rows"], r["n_overlapping"]) for r in sorted(report, key=lambda r: r["label"])] == [(4, 3), (2, 1)]
+    assert [(r["n_rows"], r["n_overlapping"]) for r in sorted(report, key=lambda r: r["label"])] == [(5, 4), (2, 1)]
 
 
 def test_overlap_report(spark):

@@ -132,32 +132,30 @@ def _feature_rows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return text, uniq % FEATURES, total / np.sqrt(np.maximum(size[text], 12)).astype(np.float32)
 
 
-def _kernel(texts: list[str], marks: tuple, m: int, block: int = 64) -> np.ndarray:
-    """The kernel between texts and m landmarks, whose feature rows are `marks`."""
+def _kernel(texts: list[str], marks: tuple, m: int, block: int = 128) -> np.ndarray:
+    """The kernel between texts and m landmarks, whose feature rows are `marks`: each text's values times the landmarks'
+    values of the features they share."""
     known, inv = np.unique(marks[1], return_inverse=True)
     place = np.full(FEATURES, -1, np.int32)
     place[known] = np.arange(len(known))
     place[0] = -1
+    mine = []
+    for lo in range(0, len(texts), 1000):
+        text, feature, value = _feature_rows(texts[lo : lo + 1000])
+        at = place[feature]
+        hit = at >= 0
+        mine.append((text[hit] + lo, at[hit], value[hit]))
+    text, at, value = (np.concatenate(x) for x in zip(*mine, strict=True))
+    ends = np.searchsorted(text, np.arange(len(texts) + 1))
     out = np.zeros((len(texts), m), np.float32)
-    blocks = [(lo, min(m, lo + block)) for lo in range(0, m, block)]
-    dense = []
-    for lo, hi in blocks:
-        mine = (marks[0] >= lo) & (marks[0] < hi)
-        d = np.zeros((len(known), hi - lo), np.float32)
-        d[inv[mine], marks[0][mine] - lo] = marks[2][mine]
-        dense.append(d)
-    for t in range(0, len(texts), 1000):
-        x, begin, size = encode(texts[t : t + 1000])
-        owner = np.repeat(np.arange(len(begin)) + t, np.diff(np.concatenate([begin, [len(x)]])))
-        for f, w in occurrences(x):
-            at = place[f]
-            hit = at >= 0
-            at, who = at[hit], owner[hit]
-            if len(at):
-                first = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
-                for (lo, hi), d in zip(blocks, dense, strict=True):
-                    out[who[first], lo:hi] += np.float32(w) * np.add.reduceat(d[at], first)
-        out[t : t + 1000] /= np.sqrt(np.maximum(size, 12))[:, None].astype(np.float32)
+    for lo in range(0, m, block):
+        hi = min(m, lo + block)
+        own = (marks[0] >= lo) & (marks[0] < hi)
+        dense = np.zeros((len(known), hi - lo), np.float32)
+        dense[inv[own], marks[0][own] - lo] = marks[2][own]
+        for t in range(len(texts)):
+            rows = slice(ends[t], ends[t + 1])
+            out[t, lo:hi] = value[rows] @ dense[at[rows]]
     return out
 
 
@@ -296,7 +294,7 @@ def document_score(text: str | None, weights: np.ndarray, bias: float) -> float:
     return float(s.max()) if len(s) else -10.0
 
 
-def score_documents(documents: DataFrame, labels: DataFrame, most: int = 2000, held_out: float = 0.25) -> DataFrame:
+def score_documents(documents: DataFrame, labels: DataFrame, most: int = 4000, held_out: float = 0.25) -> DataFrame:
     """(doc_id, source, score, abusive) of every document: the highest score of its passages, and whether that reaches
     the threshold. Whole texts are scored; null and empty texts get -10 and are not abusive. Without labels of both kinds
     nothing is abusive. The machine is trained on at most `most` labelled documents of each label, the threshold set on the

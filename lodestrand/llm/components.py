@@ -57,25 +57,35 @@ def contract(edges: DataFrame, workspace: Workspace, seed: int = 17, max_rounds:
     return forest.withColumnRenamed("parent", "root")
 
 
-def with_component(df: DataFrame, keys: dict[str, Column], workspace: Workspace, out: str = "component") -> DataFrame:
-    """`df` with the component of each row: rows are linked where they have an equal, non-null value of one of `keys`
-    (in the order given, which names the component by the first one present), directly or through other rows.
+def with_component(df: DataFrame, keys: dict[str, Column], workspace: Workspace, out: str = "component", drop: tuple[str, ...] = ()) -> DataFrame:
+    """`df`, without the columns `drop`, with the component of each row, a long: rows are linked where they have an equal, non-null value of one of
+    `keys`, directly or through other rows. A row with no key at all gets null. `df` and a digest of each key (`__k0`,
+    `__k1`, ...) are written once and read from there.
 
-    A row with no key at all gets null. Only key values that meet more than one name become edges: a value's least and
-    greatest name are taken by partial aggregation, so the values that hold most of the rows cost no more than others.
+    Keys are compared by 64-bit digests; a second digest shows two keys with the same one, and another seed is taken then.
+    Only key values that meet more than one name become edges: a value's least and greatest name are taken by partial
+    aggregation, so the values that hold most of the rows cost no more than others.
     """
-    names = list(keys)
-    tag = [F.concat(F.lit(f"{i}|"), c.cast("string")) for i, c in enumerate(keys.values())]
-    rows = df.withColumns({f"__k{i}": c.cast("string") for i, c in enumerate(keys.values())} | {"__name": F.coalesce(*tag)})
-    edges = []
-    for i in range(1, len(names)):
-        k = f"__k{i}"
-        held = rows.where(F.col(k).isNotNull()).select(k, "__name")
-        torn = held.groupBy(k).agg(F.min("__name").alias("u"), F.max("__name").alias("__most")).where(F.col("u") != F.col("__most")).drop("__most")
-        edges.append(held.distinct().join(torn, k).select("u", F.col("__name").alias("v")))
+    for seed in range(5):
+        digest = lambda i, c, n, seed=seed: F.when(c.isNotNull(), F.xxhash64(F.lit(n * 100 + seed * 10 + i), c))
+        marks = {f"__k{i}": digest(i, c, 0) for i, c in enumerate(keys.values())} | {f"__c{i}": digest(i, c, 1) for i, c in enumerate(keys.values())}
+        rows = workspace.cut(df.withColumns(marks).drop(*drop), f"keyed-{seed}")
+        name = F.coalesce(*[F.col(f"__k{i}") for i in range(len(keys))])
+        edges, twice = [], []
+        for i in range(len(keys)):
+            k = f"__k{i}"
+            held = rows.select(k, F.col(f"__c{i}").alias("c"), name.alias("__name")).where(F.col(k).isNotNull())
+            met = held.groupBy(k).agg(F.min("__name").alias("u"), F.max("__name").alias("most"), F.min("c").alias("c0"), F.max("c").alias("c1"))
+            if i:
+                met = workspace.cut(met.where("u <> most OR c0 <> c1"), f"met-{seed}-{i}")
+                edges.append(held.select(k, "__name").join(met.select(k, "u"), k).select("u", F.col("__name").alias("v")))
+            twice.append(met.where("c0 <> c1").select(k))
+        if reduce(DataFrame.unionByName, [x.toDF("k") for x in twice]).isEmpty():
+            break
+    else:
+        raise RuntimeError("keys with equal digests under five seeds")
+    rows = rows.drop(*[f"__c{i}" for i in range(len(keys))]).withColumn("__name", name)
     roots = contract(reduce(DataFrame.unionByName, edges), workspace) if edges else None
-    gone = [f"__k{i}" for i in range(len(names))] + ["__name"]
     if roots is None:
-        return rows.withColumn(out, F.col("__name")).drop(*gone)
-    found = roots.select(F.col("vertex").alias("__name"), F.col("root").alias("__root"))
-    return rows.join(found, "__name", "left").withColumn(out, F.coalesce("__root", "__name")).drop(*gone, "__root")
+        return rows.withColumnRenamed("__name", out)
+    return rows.join(roots.select(F.col("vertex").alias("__name"), F.col("root").alias("__root")), "__name", "left").withColumn(out, F.coalesce("__root", "__name")).drop("__name", "__root")

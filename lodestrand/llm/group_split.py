@@ -87,7 +87,7 @@ def assign_splits(
     parts = [
         placed_small.where("is_whole").select("component", F.col("k").alias("split_label")),
         placed_small.where("NOT is_whole").select("component", cut.alias("split_label")),
-        spark.createDataFrame(placed, "component string, split_label string"),
+        spark.createDataFrame(placed, groups.select("component").schema.add("split_label", "string")),
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 

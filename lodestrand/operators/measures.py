@@ -16,6 +16,12 @@ def known(c: str | Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def round_half_away(c: Column, digits: int) -> Column:
+    """Rounded to `digits`, from the scaled binary value; a decimal rounding would decide halves by the shortest decimal text."""
+    scale = F.lit(float(10**digits))
+    return F.when(F.isnan(c), c).otherwise(F.signum(c) * F.floor(F.abs(c) * scale + 0.5) / scale)
+
+
 def aggregate_duplicates(df: DataFrame, keys: Sequence[str], ki: str, pki: str, distinct: dict[str, str] | None = None) -> DataFrame:
     """Per key: records, exact medians, spread (null for one record), distinct counts, and whether it was repeated."""
     return df.groupBy(*keys).agg(

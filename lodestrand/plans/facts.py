@@ -30,7 +30,7 @@ def query(sql: str | None = None):
 
 
 def r6(df: DataFrame, *cols: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 6) for c in cols})
+    return df.withColumns({c: measures.round_half_away(F.col(c), 6) for c in cols})
 
 
 STAGES = (("A", "l_quantity > 0"), ("B", "l_returnflag <> 'N'"), ("C", "l_discount <= 0.05"), ("D", "l_extendedprice > 0"), ("E", "o_orderstatus <> 'P'"), ("F", "p_size >= 10"), ("G", "c_acctbal > 0"))
@@ -222,9 +222,12 @@ def task_summary(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(f"WITH {FACT} SELECT count(*) AS n_rows, count(*) FILTER (compound IS NULL OR target IS NULL) AS n_missing, 0 AS n_repeated_keys FROM fact")
+@query(f"""WITH {CURATE}, k AS (SELECT c, t, count(*) AS n FROM c WHERE c IS NOT NULL AND t IS NOT NULL GROUP BY 1, 2)
+SELECT (SELECT count(*) FROM c) AS n_rows, (SELECT count(*) FROM c WHERE c IS NULL OR t IS NULL) AS n_missing, (SELECT count(*) FROM k WHERE n > 1) AS n_repeated_keys""")
 def key_check(spark: SparkSession, d: str) -> DataFrame:
-    return clean.key_report(fact(spark, d), ["compound", "target"]).select(F.col("n_rows"), "n_missing", F.col("n_repeated_keys").cast("int").alias("n_repeated_keys"))
+    """Rows, rows without a whole key, and keys that stand in several rows."""
+    m = table(spark, d, "curated_measurements").select(key(F.col("compound_id")).alias("c"), key(F.col("target_chembl_id")).alias("t"))
+    return clean.key_report(m, ["c", "t"]).select("n_rows", "n_missing", "n_repeated_keys")
 
 
 @query("""WITH a AS (SELECT DISTINCT l_orderkey AS k FROM lineitem), b AS (SELECT DISTINCT o_orderkey AS k FROM orders)

@@ -27,8 +27,8 @@ def query(sql: str | None = None):
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Every double rounded, so that sums in another order compare equal."""
-    return df.select(*[F.round(f"`{c}`", digits).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
+    """Every double rounded, so that sums in another order compare equal; halves as binary arithmetic has them."""
+    return df.select(*[measures.round_half_away(F.col(f"`{c}`"), digits).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
 @query(f"WITH {FACT} SELECT a.compound, a.target AS target_a, b.target AS target_b, round(a.pki, 6) AS pki_a, round(b.pki, 6) AS pki_b, round(a.pki - b.pki, 6) AS delta FROM fact a JOIN fact b ON a.compound = b.compound AND a.target < b.target WHERE abs(a.pki - b.pki) >= 1.0")
@@ -135,27 +135,29 @@ def split_leakage(spark: SparkSession, d: str) -> DataFrame:
     return splits.leakage(splits.random_split(uids(spark, d), "row_uid"), "compound")
 
 
-BITS = "list_sum(list_transform(range(1, 64), lambda i: CASE WHEN embedding[i] > 0 THEN CAST(1 AS BIGINT) << (i - 1) ELSE 0 END))"
-SIMILAR = f"""e AS (SELECT vec_id AS id, label, CAST({BITS} AS BIGINT) AS b FROM embeddings),
-s AS (SELECT a.label, a.id AS item_1, b.id AS item_2, bit_count(a.b & b.b) / (bit_count(a.b) + bit_count(b.b) - bit_count(a.b & b.b)) AS similarity FROM e a JOIN e b ON a.label = b.label AND a.id < b.id)"""
+# A sign bit for each of the 64 entries, in two halves that fit a BIGINT.
+BITS = lambda lo: f"CAST(list_sum(list_transform(range({lo}, {lo} + 32), lambda i: CASE WHEN embedding[i] > 0 THEN CAST(1 AS BIGINT) << (i - {lo}) ELSE 0 END)) AS BIGINT)"
+BOTH = "bit_count(a.b & b.b) + bit_count(a.c & b.c)"
+SIMILAR = f"""e AS (SELECT vec_id AS id, label, {BITS(1)} AS b, {BITS(33)} AS c, embedding[1] AS v FROM embeddings),
+s AS (SELECT a.label, a.id AS item_1, b.id AS item_2, a.v AS v1, b.v AS v2, ({BOTH}) / (bit_count(a.b) + bit_count(a.c) + bit_count(b.b) + bit_count(b.c) - ({BOTH})) AS similarity FROM e a JOIN e b ON a.label = b.label AND a.id < b.id)"""
 
 
 def fingerprints(spark: SparkSession, d: str) -> DataFrame:
-    """Sign bits of the first 63 of the 64 entries only, as the given SQL has them."""
-    v = F.slice("embedding", 1, 63)
-    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", pairs.sign_bits(v).alias("bits"))
+    """Sign bits of the embeddings, and their first entry as the measured value."""
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", pairs.sign_bits(F.col("embedding")).alias("bits"), F.get("embedding", F.lit(0)).cast("double").alias("value"))
 
 
 @query(f"WITH {SIMILAR} SELECT label, item_1, item_2, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.45")
 def similar_items(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of one label by Tanimoto similarity of the sign bits of the first 63 entries, as the given SQL defines it."""
+    """Pairs of one label by Tanimoto similarity of their sign bits."""
     return rounded(pairs.similar_pairs(fingerprints(spark, d), "label", "id", "bits", 0.45))
 
 
-@query(f"WITH {SIMILAR}, p AS (SELECT * FROM s WHERE similarity >= 0.45), u AS (SELECT label, item_1 AS item, item_2 AS partner, similarity FROM p UNION ALL SELECT label, item_2, item_1, similarity FROM p) SELECT e.label, id AS item, count(partner) AS n_pairs, count(DISTINCT partner) AS n_partners, round(max(similarity), 6) AS most_similar, CASE WHEN count(partner) > 0 THEN 'cliff_associated' ELSE 'non_cliff' END AS subset FROM e LEFT JOIN u ON e.label = u.label AND e.id = u.item GROUP BY 1, 2")
+@query(f"WITH {SIMILAR}, p AS (SELECT * FROM s WHERE similarity >= 0.45 AND abs(v1 - v2) >= 0.15), u AS (SELECT label, item_1 AS item, item_2 AS partner, similarity FROM p UNION ALL SELECT label, item_2, item_1, similarity FROM p) SELECT e.label, id AS item, count(partner) AS n_pairs, count(DISTINCT partner) AS n_partners, round(max(similarity), 6) AS most_similar, CASE WHEN count(partner) > 0 THEN 'cliff_associated' ELSE 'non_cliff' END AS subset FROM e LEFT JOIN u ON e.label = u.label AND e.id = u.item GROUP BY 1, 2")
 def cliff_flags(spark: SparkSession, d: str) -> DataFrame:
+    """Items with a similar partner whose value differs enough, and the others."""
     x = fingerprints(spark, d)
-    flags = pairs.pair_flags(pairs.similar_pairs(x, "label", "id", "bits", 0.45), "label")
+    flags = pairs.pair_flags(pairs.similar_pairs(x, "label", "id", "bits", 0.45, value="value", least_difference=0.15), "label")
     j = x.select("label", F.col("id").alias("item")).join(flags, ["label", "item"], "left")
     return rounded(j.withColumns({"n_pairs": F.coalesce("n_pairs", F.lit(0)), "n_partners": F.coalesce("n_partners", F.lit(0)), "subset": F.when(F.col("n_pairs").isNotNull(), "cliff_associated").otherwise("non_cliff")}))
 
@@ -218,20 +220,20 @@ def classification_by_model(spark: SparkSession, d: str) -> DataFrame:
     return rounded(metrics.classification_metrics(predictions(spark, d), ["family_name", "model"], "positive", "chance"))
 
 
-CURVE = """k AS (SELECT family_name, round(chance, 2) AS chance, sum(positive) AS p, sum(1 - positive) AS n FROM predictions GROUP BY 1, 2),
+CURVE = """k AS (SELECT family_name, chance, sum(positive) AS p, sum(1 - positive) AS n FROM predictions GROUP BY 1, 2),
 q AS (SELECT family_name, chance, p, n, sum(p) OVER w / sum(p) OVER a AS tpr, sum(n) OVER w / sum(n) OVER a AS fpr, sum(p) OVER w / (sum(p) OVER w + sum(n) OVER w) AS precision FROM k WINDOW w AS (PARTITION BY family_name ORDER BY chance DESC ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY family_name))"""
 
 
-@query(f"WITH {PREDICTIONS}, {CURVE} SELECT family_name, chance AS threshold, CAST(p AS BIGINT) AS p, CAST(n AS BIGINT) AS n, round(tpr, 6) AS tpr, round(fpr, 6) AS fpr, round(precision, 6) AS precision FROM q")
+@query(f"WITH {PREDICTIONS}, {CURVE} SELECT family_name, round(chance, 6) AS threshold, CAST(p AS BIGINT) AS p, CAST(n AS BIGINT) AS n, round(tpr, 6) AS tpr, round(fpr, 6) AS fpr, round(precision, 6) AS precision FROM q")
 def curve_points(spark: SparkSession, d: str) -> DataFrame:
-    p = predictions(spark, d).withColumn("chance", F.round("chance", 2))
+    p = predictions(spark, d)
     return rounded(metrics.curve(p, ["family_name"], "positive", "chance"))
 
 
 @query(f"""WITH {PREDICTIONS}, {CURVE}, z AS (SELECT *, coalesce(lag(tpr) OVER w, 0) AS t0, coalesce(lag(fpr) OVER w, 0) AS f0, coalesce(lag(precision) OVER w, 1) AS p0 FROM q WINDOW w AS (PARTITION BY family_name ORDER BY chance DESC))
 SELECT family_name, round(sum((fpr - f0) * (tpr + t0) / 2), 6) AS roc_auc, round(sum((tpr - t0) * precision), 6) AS average_precision, round(sum((tpr - t0) * (precision + p0) / 2), 6) AS pr_auc FROM z GROUP BY 1""")
 def ranking_quality(spark: SparkSession, d: str) -> DataFrame:
-    p = predictions(spark, d).withColumn("chance", F.round("chance", 2))
+    p = predictions(spark, d)
     return rounded(metrics.ranking_quality(p, ["family_name"], "positive", "chance"))
 
 

@@ -10,6 +10,11 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
+@pytest.fixture(scope="session")
+def data():
+    return DATA
+
+
 @pytest.fixture(scope="session")
 def spark():
     from lodestrand.session import local_session

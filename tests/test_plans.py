@@ -4,7 +4,6 @@ import contextlib
 import io
 
 import pytest
-from conftest import DATA
 
 from lodestrand import catalog
 
@@ -17,12 +16,12 @@ def plan(df) -> str:
 
 
 @pytest.mark.parametrize("name", ["target_pairs", "pairwise_task", "panel_overlap", "similar_items", "bucket_overlap", "paired_models", "six_way_join"])
-def test_no_cartesian(name, spark):
-    p = plan(catalog.QUERIES[name](spark, DATA))
+def test_no_cartesian(name, spark, data):
+    p = plan(catalog.QUERIES[name](spark, data))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
 
 
-def test_scan_is_pruned(spark):
-    p = plan(catalog.QUERIES["six_way_join"](spark, DATA))
+def test_scan_is_pruned(spark, data):
+    p = plan(catalog.QUERIES["six_way_join"](spark, data))
     assert "EqualTo(l_returnflag,R)" in p and "l_comment" not in p
     assert "ReadSchema: struct<p_partkey:bigint,p_brand:string,p_size:int>" in p

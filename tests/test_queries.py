@@ -1,19 +1,18 @@
 """Every query of the core against its SQL, over whole tables."""
 
 import pytest
-from conftest import DATA
 
 from lodestrand import catalog
 
 
 @pytest.mark.parametrize("name", sorted(catalog.SQL))
-def test_against_sql(name, spark, duck, same):
-    same(catalog.QUERIES[name](spark, DATA), duck, catalog.SQL[name])
+def test_against_sql(name, spark, duck, same, data):
+    same(catalog.QUERIES[name](spark, data), duck, catalog.SQL[name])
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
-def test_runs(name, spark):
-    assert catalog.QUERIES[name](spark, DATA).count() > 0
+def test_runs(name, spark, data):
+    assert catalog.QUERIES[name](spark, data).count() > 0
 
 
 def test_entry(spark):

@@ -2,7 +2,6 @@ import gzip
 import os
 
 import pytest
-from conftest import DATA
 from pyspark.sql import functions as F
 
 from lodestrand.sources import readers, sinks
@@ -80,8 +79,8 @@ def test_sinks(spark, tmp_path):
     assert sinks.tree(str(tmp_path / "rel")).splitlines() == ["rel/", "  x/", "    f.txt"]
 
 
-def test_stream(spark, tmp_path):
-    src = f"{DATA}/events.parquet"
+def test_stream(spark, tmp_path, data):
+    src = f"{data}/events.parquet"
     schema = spark.read.parquet(src).schema
     (tmp_path / "in").mkdir()
     os.symlink(src, tmp_path / "in" / "a.parquet")
@@ -90,8 +89,8 @@ def test_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == spark.read.parquet(src).count()
 
 
-def test_windowed_stream(spark, tmp_path):
-    src = f"{DATA}/events.parquet"
+def test_windowed_stream(spark, tmp_path, data):
+    src = f"{data}/events.parquet"
     (tmp_path / "in").mkdir()
     os.symlink(src, tmp_path / "in" / "a.parquet")
     stream = scoring.file_stream(spark, str(tmp_path / "in"), spark.read.parquet(src).schema)

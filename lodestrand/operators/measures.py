@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -23,10 +24,22 @@ def round_half_away(c: Column, digits: int) -> Column:
 
 
 def aggregate_duplicates(df: DataFrame, keys: Sequence[str], ki: str, pki: str, distinct: dict[str, str] | None = None) -> DataFrame:
-    """Per key: records, exact medians, spread (null for one record), distinct counts, and whether it was repeated."""
-    return df.groupBy(*keys).agg(
-        F.count("*").alias("n_records"), F.median(ki).alias("median_ki"), F.median(pki).alias("median_pki"), F.stddev_samp(pki).alias("std_pki"),
-        *[F.count_distinct(c).alias(a) for a, c in (distinct or {}).items()],
+    """Per key: records, exact medians, spread (null for one record), distinct counts, and whether it was repeated.
+
+    One exchange by key serves all: windows mark the middle values and each first different value, and the aggregation
+    behind them needs no exchange. Sorts spill, so a key's rows need not fit into memory, as an exact percentile's would."""
+    w = W.partitionBy(*keys)
+    rows = df.select(*keys, *{ki: 0, pki: 0, **dict.fromkeys((distinct or {}).values())})
+    for v in dict.fromkeys((ki, pki)):
+        n, i = F.count(v).over(w), F.row_number().over(w.orderBy(F.col(v).asc_nulls_last()))
+        rows = rows.withColumns({f"__n_{v}": n, f"__i_{v}": i})
+    for v in dict.fromkeys((distinct or {}).values()):
+        before = F.lag(v).over(w.orderBy(F.col(v).asc_nulls_first()))
+        rows = rows.withColumn(f"__new_{v}", F.when(F.col(v).isNotNull() & ~F.col(v).eqNullSafe(before), 1))
+    middle = lambda v: F.avg(F.when((F.col(f"__i_{v}") * 2 >= F.col(f"__n_{v}")) & (F.col(f"__i_{v}") * 2 <= F.col(f"__n_{v}") + 2) & F.col(v).isNotNull(), F.col(v)))
+    return rows.groupBy(*keys).agg(
+        F.count("*").alias("n_records"), middle(ki).alias("median_ki"), middle(pki).alias("median_pki"), F.stddev_samp(pki).alias("std_pki"),
+        *[F.count(f"__new_{c}").alias(a) for a, c in (distinct or {}).items()],
     ).withColumn("is_duplicate", F.col("n_records") > 1)
 
 

@@ -189,3 +189,16 @@ def test_policies(spark):
     with pytest.raises(ValueError):
         quality.column_check(df, ["t", "w"], ["w"])
     assert {r["t"]: r["t_code"] for r in quality.binary_codes(df, "t").collect()} == {"IC50": 0, "Ki": 1, None: None}
+
+
+def test_medians_of_repeated_measurements(spark):
+    import statistics
+
+    rng = random.Random(3)
+    rows = [(g, rng.choice([None, *map(float, range(9))]), float(rng.randrange(5)), rng.choice(["a", "b", None])) for g in range(30) for _ in range(rng.randrange(1, 9))]
+    got = {r["g"]: r for r in measures.aggregate_duplicates(spark.createDataFrame(rows, "g int, k double, p double, s string"), ["g"], "k", "p", {"n_s": "s"}).collect()}
+    for g, r in got.items():
+        mine = [x for x in rows if x[0] == g]
+        k = [x[1] for x in mine if x[1] is not None]
+        assert r["median_ki"] == (statistics.median(k) if k else None) and r["median_pki"] == statistics.median(x[2] for x in mine)
+        assert r["n_s"] == len({x[3] for x in mine} - {None}) and r["n_records"] == len(mine)

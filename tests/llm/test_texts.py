@@ -92,6 +92,30 @@ def test_bucket_bounds_are_optimal():
     assert packing.bucket_bounds(np.zeros(65, np.int64), 64, 3) == []
 
 
+def fill(histogram, bounds, capacity):
+    kinds = packing.plan_containers(histogram, bounds, capacity)
+    containers = sum({k: t for k, _, t, _, _ in kinds}.values())
+    assert all(sum(n * e for k, _, _, n, e in kinds if k == kind) <= capacity for kind in {k[0] for k in kinds})
+    placed = np.zeros_like(histogram)
+    for _, _, times, n, each in kinds:
+        placed[n] += times * each
+    assert (placed == histogram).all()
+    return float((histogram * np.arange(len(histogram))).sum() / (containers * capacity))
+
+
+def test_bucket_bounds_matter():
+    rng = np.random.default_rng(4)
+    for shape in (rng.lognormal(5.5, 1.0, 20_000), rng.uniform(1, 2048, 20_000), rng.normal(900, 300, 20_000)):
+        h = np.bincount(np.clip(shape, 1, 2048).astype(int), minlength=2049)
+        best = fill(h, packing.bucket_bounds(h, 2048, 16), 2048)
+        one, other = fill(h, [2048], 2048), fill(h, [1400, 2048], 2048)
+        assert best > one + 0.01 and best > other + 0.001
+    # Inside a bucket no item of another bucket is taken as long as its own fit.
+    h = np.zeros(101, np.int64)
+    h[[60, 40, 30, 10]] = [2, 2, 2, 3]
+    assert packing.plan_containers(h, [40, 60, 100], 100)[:2] == [(0, 1, 2, 60, 1), (0, 1, 2, 40, 1)]
+
+
 def test_packing_is_whole_and_exact(spark):
     rng = random.Random(6)
     docs = [(i, " ".join(rng.choice(["kinase", "assay", "the", "Ki", "of", "7.3"]) for _ in range(rng.randrange(1, 120)))) for i in range(400)] + [(1000, "word " * 700), (1001, None), (1002, ""), (3, "same id again"), (3, "same id again")]

@@ -228,6 +228,43 @@ def test_varied_subset_in_two_levels(spark):
     assert len(got) == 300 == len({r["murcko_scaffold"] for r in got})
 
 
+def test_feature_tree_is_balanced_and_whole():
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (3000, 6))
+    tree = varied_subset.FeatureTree(300, branching=8)
+    for v in x:
+        tree.add(1.0, v, float(v @ v))
+    n, ls, ss = tree.entries()
+    assert len(n) <= 300 and n.sum() == 3000 and np.allclose(ls.sum(0), x.sum(0)) and np.isclose(ss.sum(), (x**2).sum())
+
+    def depths(node, at=0):
+        assert 0 < node.size <= 8
+        if node.kids is None:
+            return {at}
+        for i, kid in enumerate(node.kids):
+            assert np.isclose(node.n[i], kid.total()[0]) and np.allclose(node.ls[i], kid.total()[1])
+        return set().union(*(depths(kid, at + 1) for kid in node.kids))
+
+    assert len(depths(tree.root)) == 1 and depths(tree.root) != {0}
+
+
+def test_subset_covers_more_than_chance(spark):
+    rng = random.Random(8)
+    parts = ["c1ccccc1", "C(=O)N", "c1ccncc1", "CC(C)", "OCC", "S(=O)(=O)", "NC", "F"]
+    crowded = ["".join(rng.choice(parts[:2]) for _ in range(9)) for _ in range(800)]
+    other = ["".join(rng.choice(parts) for _ in range(9)) for _ in range(100)] + ["P" * i + "Br" * (9 - i) + "I" for i in range(9)]
+    names = sorted({*crowded, *other})
+    df = spark.createDataFrame([(f"e{i}", s, int(s in other), 1.0, "q", 1) for i, s in enumerate(names)], SHORT)
+    v = varied_subset.scaffold_vectors(names, np.array([float(s in other) for s in names]))
+    far = lambda chosen: ((v[:, None] - v[chosen][None]) ** 2).sum(2).min(1)
+    got = varied_subset.varied_subset(df, 40, rows_per_task=100).collect()
+    mine = far([names.index(r["murcko_scaffold"]) for r in got])
+    chance = [far(rng.sample(range(len(names)), 40)) for _ in range(30)]
+    assert len(got) == 40 and mine.mean() < np.mean([c.mean() for c in chance]) and mine.max() < np.mean([c.max() for c in chance])
+    share = sum(s in other for s in names) / len(names)
+    assert sum(r["rare"] for r in got) > 40 * share
+
+
 def test_ward_finds_clusters():
     rng = np.random.default_rng(0)
     c = np.concatenate([rng.normal(m, 0.05, (20, 2)) for m in ((0, 0), (3, 0), (0, 3))])

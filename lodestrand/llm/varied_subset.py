@@ -290,7 +290,7 @@ def varied_subset(shortlist: DataFrame, k: int, entries: int = 2000, coarse: int
     both = to_all.select("group", "salt", "centre", "v", F.lit(None).cast("string").alias("scaffold"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("rare")).unionByName(
         located_points.select("group", "salt", F.lit(None).cast("int").alias("centre"), "v", "scaffold", "n", "rare")
     )
-    both = both.repartition(sum(salts.values()), "group", "salt").sortWithinPartitions(F.col("centre").isNull())
+    both = both.repartition(max(1, -(-4 * total // rows_per_task)), "group", "salt").sortWithinPartitions(F.col("centre").isNull())
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mine: dict[int, list] = {}

@@ -11,14 +11,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .windows import average_rank
+from .windows import with_average_rank
 
 
 def regression_metrics(df: DataFrame, by: Sequence[str], y: str = "observed", p: str = "predicted") -> DataFrame:
     """rmse, mae, median absolute error, r2, Pearson and Spearman; null where undefined. Rows with a null or NaN side do
     not take part. Spearman is Pearson of average ranks."""
     rows = df.where(F.col(y).isNotNull() & F.col(p).isNotNull() & ~F.isnan(y) & ~F.isnan(p))
-    rows = rows.withColumn("__ry", average_rank(y, by)).withColumn("__rp", average_rank(p, by))
+    rows = with_average_rank(with_average_rank(rows.select(*by, y, p), y, "__ry", by), p, "__rp", by)
     e = F.col(y) - F.col(p)
 
     def corr(a: str, b: str):
@@ -76,6 +76,23 @@ def ranking_quality(df: DataFrame, by: Sequence[str], y: str, score: str) -> Dat
     )
 
 
+def stepwise_areas(df: DataFrame, by: Sequence[str], y: str, score: str, order: Sequence[str]) -> DataFrame:
+    """Areas under the ROC and precision-recall points of single rows, from the highest score down, ties in `order` and not
+    grouped; the precision-recall points start at precision 1. For comparison with results that were made so; null where
+    a class is absent. The window runs over a group's rows."""
+    rows = df.where(F.col(y).isNotNull() & F.col(score).isNotNull())
+    w = W.partitionBy(*by).orderBy(F.desc(score), *order).rowsBetween(W.unboundedPreceding, 0)
+    tp, n = F.sum(y).over(w), F.count("*").over(w)
+    x = rows.select(*by, F.col(y).alias("__y"), tp.alias("__tp"), n.alias("__n"))
+    before = F.when(F.col("__n") == 1, 1.0).otherwise((F.col("__tp") - F.col("__y")) / (F.col("__n") - 1))
+    pos, neg = F.sum("__y"), F.count("*") - F.sum("__y")
+    # A negative moves right by 1 / negatives at the height of the positives so far; a positive moves by 1 / positives.
+    return x.groupBy(*by).agg(
+        F.when((pos > 0) & (neg > 0), F.sum(F.when(F.col("__y") == 0, F.col("__tp")).otherwise(0)) / (pos * neg).cast("double")).alias("roc_auc"),
+        F.when(pos > 0, F.sum(F.when(F.col("__y") == 1, (F.col("__tp") / F.col("__n") + before) / 2).otherwise(0.0)) / pos).alias("pr_auc"),
+    )
+
+
 def paired_t(folds: DataFrame, keys: Sequence[str], model: str, metric: str) -> DataFrame:
     """All model pairs over the folds they share: differences, t and degrees of freedom; null t where they never differ."""
     a = folds.select(*keys, F.col(model).alias("model_a"), F.col(metric).alias("x"))

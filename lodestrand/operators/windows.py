@@ -13,28 +13,51 @@ def row_rank(order: Sequence[Column], by: Sequence[str] = ()) -> Column:
     return F.row_number().over(W.partitionBy(*by).orderBy(*order))
 
 
-def average_rank(value: str, by: Sequence[str] = (), descending: bool = False) -> Column:
-    """Average rank of ties among the non-null values; null for null."""
+def value_bucket(v: Column) -> Column:
+    """An order-preserving range number of a double: 256 ranges between one power of two and the next. Null for null; NaN last."""
+    a = F.abs(v)
+    e = F.floor(F.log2(a))
+    size = F.when(a == 0, F.lit(0)).when(a == float("inf"), F.lit(2200 * 256)).otherwise((e + 1100) * 256 + F.floor(a / F.pow(F.lit(2.0), e.cast("double")) * 256) - 256)
+    return F.when(v.isNull(), None).when(F.isnan(v), 2300 * 256).when(v < 0, -size).otherwise(size).cast("int")
+
+
+def _ranged(df: DataFrame, value: str, by: Sequence[str], descending: bool) -> tuple[DataFrame, list[str]]:
+    """`df` with the value's range, the number of the group's values in ranges before it, and of all of them. A group's values
+    are counted by range first, so that what is sorted together is one range of one group, not the group."""
+    x = df.withColumn("__b", value_bucket(F.col(value).cast("double")) * (-1 if descending else 1))
+    part = [*by, "__b"]
+    counts = x.where(F.col(value).isNotNull()).groupBy(*part).agg(F.count("*").alias("__in"))
+    whole = W.partitionBy(*by)
+    before = F.sum("__in").over(whole.orderBy("__b").rowsBetween(W.unboundedPreceding, 0)) - F.col("__in")
+    offsets = counts.select(*[F.col(c).alias(f"__r_{c}") for c in part], before.alias("__before"), F.sum("__in").over(whole).alias("__n"))
+    on = [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in by] + [F.col("__b") == F.col("__r___b")]
+    return x.join(offsets, on, "left").drop(*[f"__r_{c}" for c in part]), part
+
+
+def with_average_rank(df: DataFrame, value: str, out: str, by: Sequence[str] = (), descending: bool = False, n: str | None = None) -> DataFrame:
+    """`df` with the average rank of ties among a group's non-null values, and, if asked for, their number `n`; null for null."""
+    x, part = _ranged(df, value, by, descending)
     v = F.col(value)
-    w = W.partitionBy(*by, v.isNull()).orderBy(v.desc() if descending else v.asc())
-    ties = F.count("*").over(W.partitionBy(*by, v))
-    return F.when(v.isNotNull(), F.rank().over(w) + (ties - 1) / 2.0)
+    w = W.partitionBy(*part).orderBy(v.desc() if descending else v.asc())
+    ties = F.count("*").over(W.partitionBy(*part, v))
+    x = x.withColumn(out, F.when(v.isNotNull(), F.col("__before") + F.rank().over(w) + (ties - 1) / 2.0))
+    return (x.withColumn(n, F.col("__n")) if n else x).drop("__b", "__before", "__n")
 
 
-def rank_normalize(value: str, by: Sequence[str] = (), larger_is_better: bool = True, strict_parity: bool = False) -> Column:
-    """Average ranks scaled to [0, 1], the best at 1; null stays null and a single value gives 1.
+def with_rank_normalized(df: DataFrame, value: str, out: str, by: Sequence[str] = (), larger_is_better: bool = True, strict_parity: bool = False) -> DataFrame:
+    """`df` with average ranks scaled to [0, 1], the best at 1; null stays null and a single value gives 1.
 
-    With `strict_parity` the best value gets 0, as the reference's code does against its own description."""
-    n = F.count(value).over(W.partitionBy(*by))
-    rank = average_rank(value, by, descending=larger_is_better == strict_parity)
-    return F.when(F.col(value).isNotNull(), F.when(n == 1, F.lit(1.0)).otherwise((rank - 1) / F.greatest(n - 1, F.lit(1))))
+    With `strict_parity` the best value gets 0, as the original code does against its own description."""
+    x = with_average_rank(df, value, "__rank", by, descending=larger_is_better == strict_parity, n="__many")
+    scaled = F.when(F.col("__many") == 1, F.lit(1.0)).otherwise((F.col("__rank") - 1) / F.greatest(F.col("__many") - 1, F.lit(1)))
+    return x.withColumn(out, F.when(F.col(value).isNotNull(), scaled)).drop("__rank", "__many")
 
 
-def percent_rank_first(value: str, ties: Sequence[Column], by: Sequence[str] = ()) -> Column:
-    """Place among the non-null values over their number, ties in the given order."""
-    v = F.col(value)
-    w = W.partitionBy(*by, v.isNull()).orderBy(v.asc(), *ties)
-    return F.when(v.isNotNull(), F.row_number().over(w) / F.count(value).over(W.partitionBy(*by)))
+def with_place(df: DataFrame, value: str, ties: Sequence[Column], out: str, n: str, by: Sequence[str] = ()) -> DataFrame:
+    """`df` with the place 1..n among a group's non-null values, ties in the given order, and their number `n`; null for null."""
+    x, part = _ranged(df, value, by, False)
+    inside = F.row_number().over(W.partitionBy(*part).orderBy(F.col(value).asc(), *ties))
+    return x.withColumns({out: F.when(F.col(value).isNotNull(), F.col("__before") + inside), n: F.col("__n")}).drop("__b", "__before", "__n")
 
 
 def quantile_bin(place: Column, n: Column, bins: int = 5) -> Column:

@@ -46,12 +46,10 @@ SCORED = f"""scored AS (SELECT upper({PRESENT('target_chembl_id', True)}) AS tar
 round(CASE WHEN score IS NOT NULL THEN row_number() OVER (PARTITION BY target, score IS NULL ORDER BY score, compound) / count(score) OVER (PARTITION BY target) END, 6) AS percent_rank,
 round(CASE WHEN score IS NOT NULL THEN CASE WHEN count(score) OVER (PARTITION BY target) = 1 THEN 1 ELSE (rank() OVER (PARTITION BY target, score IS NULL ORDER BY score) + (count(*) OVER (PARTITION BY target, score) - 1) / 2.0 - 1) / (count(score) OVER (PARTITION BY target) - 1) END END, 6) AS normalized FROM scored""")
 def target_rankings(spark: SparkSession, d: str) -> DataFrame:
-    s = scored(spark, d)
+    s = windows.with_place(scored(spark, d), "score", [F.col("compound")], "place", "n", ["target"])
+    s = windows.with_rank_normalized(s, "score", "normalized", ["target"])
     order = [F.col("score").desc_nulls_last(), F.col("potency").desc_nulls_last(), F.col("compound")]
-    return rounded(s.select(
-        "target", "compound", windows.row_rank(order, ["target"]).alias("rank_in_target"), windows.percent_rank_first("score", [F.col("compound")], ["target"]).alias("percent_rank"),
-        windows.rank_normalize("score", ["target"]).alias("normalized"),
-    ))
+    return rounded(s.select("target", "compound", windows.row_rank(order, ["target"]).alias("rank_in_target"), (F.col("place") / F.col("n")).alias("percent_rank"), "normalized"))
 
 
 @query(f"""WITH {SCORED}, g AS (SELECT target, count(*) AS n, max(score) AS best, median(score) AS median, avg(score) AS mean FROM scored GROUP BY 1), q AS (SELECT *, row_number() OVER (ORDER BY n DESC, target) AS i, count(*) OVER () AS m FROM g)
@@ -138,7 +136,10 @@ def _norm(c: str, larger: bool) -> str:
 def strategic_scores(spark: SparkSession, d: str) -> DataFrame:
     """Rank-normalized parts of a target and their weighted sum."""
     s = scored(spark, d)
-    n = s.select("target", "compound", windows.rank_normalize("potency", ["target"]).alias("potency"), windows.rank_normalize("selectivity", ["target"]).alias("selectivity"), windows.rank_normalize("uncertainty", ["target"], larger_is_better=False).alias("certainty"))
+    n = s
+    for part, out, larger in (("potency", "potency_rank", True), ("selectivity", "selectivity_rank", True), ("uncertainty", "certainty", False)):
+        n = windows.with_rank_normalized(n, part, out, ["target"], larger_is_better=larger)
+    n = n.select("target", "compound", F.col("potency_rank").alias("potency"), F.col("selectivity_rank").alias("selectivity"), "certainty")
     total = shortlist.weighted({"potency": 0.5, "selectivity": 0.3, "certainty": 0.2})
     return n.select("target", "compound", *[F.round(c, 6).alias(c) for c in ("potency", "selectivity", "certainty")], F.round(total, 9).alias("strategic"))
 
@@ -153,7 +154,7 @@ def entities(spark: SparkSession, d: str) -> DataFrame:
         "entity_id", known("final_strategic_score").alias("score"), F.col("scaffold_frequency").alias("freq"), F.coalesce("rare_scaffold_flag", F.lit(0)).alias("rare"),
         F.coalesce(present(F.col("murcko_scaffold"), PLACEHOLDERS), F.lit("")).alias("scaffold"), F.coalesce(present(F.col("generic_scaffold"), PLACEHOLDERS), F.lit("")).alias("generic"),
     )
-    return e.withColumn("pr", windows.percent_rank_first("score", [F.col("entity_id")]))
+    return windows.with_place(e, "score", [F.col("entity_id")], "place", "n").withColumn("pr", F.col("place") / F.col("n")).drop("place", "n")
 
 
 def bucket_entries(spark: SparkSession, d: str) -> DataFrame:

@@ -22,9 +22,9 @@ def test_text(spark):
 
 def test_rank_normalize(spark):
     df = spark.createDataFrame([("a", 10.0), ("a", 20.0), ("a", 20.0), ("a", None), ("b", 1.0)], "g string, v double")
-    got = {(g, v): n for g, v, n in rows(df.withColumn("n", windows.rank_normalize("v", ["g"])).distinct())}
+    got = {(g, v): n for g, v, n in rows(windows.with_rank_normalized(df, "v", "n", ["g"]).distinct())}
     assert got[("a", 10.0)] == 0 and got[("a", 20.0)] == 0.75 and got[("a", None)] is None and got[("b", 1.0)] == 1.0
-    parity = {v: n for _, v, n in rows(df.where("g = 'a'").withColumn("n", windows.rank_normalize("v", ["g"], strict_parity=True)).distinct())}
+    parity = {v: n for _, v, n in rows(windows.with_rank_normalized(df.where("g = 'a'"), "v", "n", ["g"], strict_parity=True).distinct())}
     assert parity[10.0] == 1.0 and parity[20.0] == 0.25
 
 
@@ -202,3 +202,39 @@ def test_medians_of_repeated_measurements(spark):
         k = [x[1] for x in mine if x[1] is not None]
         assert r["median_ki"] == (statistics.median(k) if k else None) and r["median_pki"] == statistics.median(x[2] for x in mine)
         assert r["n_s"] == len({x[3] for x in mine} - {None}) and r["n_records"] == len(mine)
+
+
+def test_value_ranges_keep_the_order(spark):
+    rng = random.Random(5)
+    vals = [0.0, -0.0, 1.0, -1.0, 2.0, 0.5, float("inf"), float("-inf"), 1e-300, -1e300, 4.999999999999999, 8.0, 7.999999999999999, *(rng.choice([1, -1]) * 10 ** rng.uniform(-12, 12) for _ in range(400))]
+    got = spark.createDataFrame([(v,) for v in vals], "v double").select("v", windows.value_bucket(F.col("v")).alias("b")).collect()
+    order = sorted(got, key=lambda r: r["v"])
+    assert all(x["b"] <= y["b"] for x, y in zip(order, order[1:])) and len({r["b"] for r in got}) > 200
+
+
+def test_ranks_against_sorting(spark):
+    rng = random.Random(6)
+    data = [(g, rng.choice([None, *(x / 4 for x in range(-8, 30))]), i) for i, g in enumerate(rng.choices(["a", "b", None], k=400))]
+    df = spark.createDataFrame(data, "g string, v double, i int")
+    x = windows.with_place(windows.with_average_rank(df, "v", "r", ["g"]), "v", [F.col("i")], "p", "n", ["g"])
+    for row in x.collect():
+        mine = sorted((v, i) for g, v, i in data if g == row["g"] and v is not None)
+        same = [k + 1 for k, (v, _) in enumerate(mine) if v == row["v"]]
+        assert row["n"] == (len(mine) if same else None)
+        assert (row["r"], row["p"]) == ((sum(same) / len(same), mine.index((row["v"], row["i"])) + 1) if same else (None, None))
+
+
+def test_stepwise_areas(spark):
+    rng = random.Random(7)
+    data = [(g, rng.randrange(2), rng.choice([0.1, 0.4, 0.4, 0.9]), i) for i, g in enumerate("ab" * 40)] + [("c", 1, 0.5, 99)]
+    got = {r["g"]: r for r in metrics.stepwise_areas(spark.createDataFrame(data, "g string, y int, s double, i int"), ["g"], "y", "s", ["i"]).collect()}
+    for g in "ab":
+        mine = [y for _, y, _, _ in sorted((x for x in data if x[0] == g), key=lambda x: (-x[2], x[3]))]
+        pos, neg, tp, roc, pr, last = sum(mine), len(mine) - sum(mine), 0, 0.0, 0.0, 1.0
+        for n, y in enumerate(mine, 1):
+            tp += y
+            roc += 0 if y else tp / pos / neg
+            pr += (tp / n + last) / 2 / pos if y else 0
+            last = tp / n
+        assert math.isclose(got[g]["roc_auc"], roc) and math.isclose(got[g]["pr_auc"], pr)
+    assert got["c"]["roc_auc"] is None and got["c"]["pr_auc"] == 1.0

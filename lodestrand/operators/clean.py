@@ -95,6 +95,22 @@ def fallback_join(rows: DataFrame, notes: DataFrame, keys: Sequence[Sequence[str
     return rows.withColumns({value: F.coalesce(*[F.col(f"__v{i}") for i in parts]), "found_by": found}).drop(*[f"__v{i}" for i in parts])
 
 
+def first_present_column(df: DataFrame, candidates: Sequence[str], default=None) -> Column:
+    """The first of the columns that the table has, whole, its nulls included; the default where it has none."""
+    return next((F.col(c) for c in candidates if c in df.columns), F.lit(default))
+
+
+def with_defaults(df: DataFrame, defaults: dict) -> DataFrame:
+    """Columns filled with a default where they are null or absent."""
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) if c in df.columns else F.lit(v) for c, v in defaults.items()})
+
+
+def ordered_columns(df: DataFrame, first: Sequence[str]) -> DataFrame:
+    """The listed columns that the table has, in this order and once each, then the others by name."""
+    head = [c for c in dict.fromkeys(first) if c in df.columns]
+    return df.select(*head, *sorted(c for c in df.columns if c not in head))
+
+
 def key_report(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows, rows with a missing key part, and keys held by more than one row."""
     blank = None

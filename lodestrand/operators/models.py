@@ -106,3 +106,14 @@ def predict_batches(rows: DataFrame, payload: bytes, features: Sequence[str], ke
     kinds = dict(rows.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", score double, reason string"
     return rows.select(*dict.fromkeys([*keys, *names])).mapInPandas(run, schema)
+
+
+def principal_coordinates(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+    """(key, coordinates): the centred vectors in their k principal directions. The covariance is summed up in partitions and
+    only its matrix, dimension by dimension, comes to the driver."""
+    from pyspark.ml.feature import PCA, StandardScaler
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    x = df.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
+    x = StandardScaler(inputCol="v", outputCol="c", withMean=True, withStd=False).fit(x).transform(x)
+    return PCA(k=k, inputCol="c", outputCol="p").fit(x).transform(x).select(key, vector_to_array("p").alias("coordinates"))

@@ -117,3 +117,24 @@ def principal_coordinates(df: DataFrame, key: str, vector: str, k: int) -> DataF
     x = df.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
     x = StandardScaler(inputCol="v", outputCol="c", withMean=True, withStd=False).fit(x).transform(x)
     return PCA(k=k, inputCol="c", outputCol="p").fit(x).transform(x).select(key, vector_to_array("p").alias("coordinates"))
+
+
+def load_models(payloads: dict[str, bytes]) -> tuple[dict[str, bytes], dict[str, str]]:
+    """The stored models (from a trusted store) that can be loaded and have a `predict` method, and the reasons of the others:
+    one broken model does not keep the rest from being used."""
+    good, failed = {}, {}
+    for name, payload in sorted(payloads.items()):
+        try:
+            if not callable(getattr(pickle.loads(payload), "predict", None)):
+                raise TypeError("no predict method")
+            good[name] = payload
+        except Exception as e:
+            failed[name] = f"{type(e).__name__}: {e}"
+    return good, failed
+
+
+def predict_with_all(rows: DataFrame, payloads: dict[str, bytes], features: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Predictions of every model, in long form with the model's name."""
+    from functools import reduce
+
+    return reduce(DataFrame.unionByName, [predict_batches(rows, p, features, keys).withColumn("model_name", F.lit(n)) for n, p in payloads.items()])

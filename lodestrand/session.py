@@ -40,10 +40,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it; a folder of our own only where none is named."""
+    """The folder all executors share, as the cluster names it. Where none is named, a folder of our own in local mode, where
+    executors share the machine; on a cluster that is an error, since results would be lost with an executor."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if sc.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="lodestrand-")
         sc.setCheckpointDir(named)
     return named

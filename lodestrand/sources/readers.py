@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import gzip
-import os
+import posixpath
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,14 +12,35 @@ from pyspark.sql import types as T
 
 from ..operators.clean import unique_names
 
+def file_system(path: str):
+    """The file system of a path or URI, and the path in it: local, or one that all nodes share."""
+    from pyarrow import fs
+
+    if "://" not in path and not path.startswith("file:"):
+        import os
+
+        path = os.path.abspath(path)
+    return fs.FileSystem.from_uri(path.replace("file:///", "/").replace("file:/", "/") if path.startswith("file:") else path)
+
+
+def file_size(path: str) -> int | None:
+    """Bytes of a file, -1 for a folder, None where there is nothing."""
+    from pyarrow import fs
+
+    where, inside = file_system(path)
+    info = where.get_file_info(inside)
+    return None if info.type == fs.FileType.NotFound else -1 if info.type == fs.FileType.Directory else info.size
+
+
 DELIMITERS = (",", "\t", ";", "|")
 
 
 def sniff_delimiter(path: str, size: int = 4096) -> str:
     """The delimiter that cuts the first lines into the same number of fields, most fields first; else a tab if there is
     one, else a comma."""
-    with (gzip.open if path.endswith(".gz") else open)(path, "rb") as f:
-        head = f.read(size).decode("utf-8", "replace")
+    where, inside = file_system(path)
+    with where.open_input_stream(inside, compression=None) as f:
+        head = (gzip.GzipFile(fileobj=f).read(size) if path.endswith(".gz") else f.read(size)).decode("utf-8", "replace")
     lines = [x for x in head.splitlines() if x.strip()][:20]
     if len(head) >= size and len(lines) > 1:
         lines = lines[:-1]
@@ -79,13 +100,13 @@ def with_row_ids(df: DataFrame, library: str, path: str, order: Sequence[str], i
 
 def read_optional(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """An empty table of the schema where the file is missing or has no bytes."""
-    if not os.path.exists(path) or (os.path.isfile(path) and os.path.getsize(path) == 0):
+    if file_size(path) in (None, 0):
         return spark.createDataFrame([], schema)
     return read_delimited(spark, path, schema)
 
 
 def read_required(spark: SparkSession, path: str, columns: Iterable[str]) -> DataFrame:
-    if not os.path.exists(path):
+    if file_size(path) is None:
         raise FileNotFoundError(path)
     df = read_library(spark, path)
     require_columns(df, columns)
@@ -100,11 +121,19 @@ def require_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
 
 def union_results(spark: SparkSession, root: str, names: Sequence[str]) -> DataFrame:
     """The first of the named result files that each folder under `root` has, united by column name."""
+    from pyarrow import fs
+
+    where, inside = file_system(root)
+    folders: dict[str, set] = {}
+    for info in where.get_file_info(fs.FileSelector(inside, recursive=True, allow_not_found=True)):
+        if info.is_file:
+            folders.setdefault(posixpath.dirname(info.path), set()).add(info.base_name)
     found = []
-    for folder, _, files in sorted(os.walk(root)):
+    for folder, files in sorted(folders.items()):
         hit = next((n for n in names if n in files), None)
         if hit:
-            found.append(read_delimited(spark, os.path.join(folder, hit)).withColumn("source_folder", F.lit(os.path.relpath(folder, root))))
+            below = posixpath.relpath(folder, inside)
+            found.append(read_delimited(spark, posixpath.join(root, "" if below == "." else below, hit)).withColumn("source_folder", F.lit(below)))
     if not found:
         raise FileNotFoundError(f"none of {', '.join(names)} under {root}")
     out = found[0]

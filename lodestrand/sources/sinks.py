@@ -6,6 +6,7 @@ import datetime
 import json
 import math
 import os
+import posixpath
 import tarfile
 import zipfile
 from collections.abc import Sequence
@@ -14,6 +15,8 @@ from typing import Any
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from .readers import file_system
+
 
 def write_table(df: DataFrame, path: str, by: Sequence[str] = (), fmt: str = "parquet", mode: str = "overwrite", single: bool = False) -> None:
     """`single` writes one file, for small tables that people open."""
@@ -65,10 +68,30 @@ def read_json(path: str) -> dict:
 
 
 def manifest(spark: SparkSession, root: str) -> DataFrame:
-    """(path, size, sha256) of the files under `root`, hashed by tasks."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + os.path.abspath(root).replace(".", "\\.") + "/?", "")
-    return files.select(base.alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256")).orderBy("path")
+    """(path, size, sha256) of the files under `root`, hashed by tasks that read them in blocks, so that no file has to fit into
+    memory. The listing is made on the driver; the folder must be one that all nodes see."""
+    from pyarrow import fs
+
+    where, inside = file_system(root)
+    found = [(posixpath.relpath(x.path, inside), x.path, x.size) for x in where.get_file_info(fs.FileSelector(inside, recursive=True)) if x.is_file]
+    tasks = max(1, min(len(found), spark.sparkContext.defaultParallelism * 4))
+
+    def run(batches):
+        import hashlib
+
+        there, _ = file_system(root)
+        for pdf in batches:
+            sums = []
+            for path in pdf["full"]:
+                h = hashlib.sha256()
+                with there.open_input_stream(path, compression=None) as f:
+                    while block := f.read(1 << 20):
+                        h.update(block)
+                sums.append(h.hexdigest())
+            yield pdf.assign(sha256=sums)[["path", "size", "sha256"]]
+
+    files = spark.createDataFrame(found, "path string, full string, size long").repartition(tasks)
+    return files.mapInPandas(run, "path string, size long, sha256 string").orderBy("path")
 
 
 def write_checksums(listing: DataFrame, path: str) -> None:

@@ -238,3 +238,40 @@ def test_stepwise_areas(spark):
             last = tp / n
         assert math.isclose(got[g]["roc_auc"], roc) and math.isclose(got[g]["pr_auc"], pr)
     assert got["c"]["roc_auc"] is None and got["c"]["pr_auc"] == 1.0
+
+
+def test_models_that_cannot_be_loaded(spark):
+    from pyspark import cloudpickle
+
+    class Doubler:
+        def predict(self, x):
+            return x[:, 0] * 2
+
+    good, failed = models.load_models({"double": cloudpickle.dumps(Doubler()), "broken": b"no pickle", "none": cloudpickle.dumps(3)})
+    assert list(good) == ["double"] and sorted(failed) == ["broken", "none"] and "predict" in failed["none"]
+    df = spark.createDataFrame([(1, 2.0), (2, None)], "i int, a double")
+    got = models.predict_with_all(df, {"x": good["double"], "y": good["double"]}, ["a"], ["i"]).collect()
+    assert sorted((r["model_name"], r["i"], r["score"], r["reason"]) for r in got if r["i"] == 1) == [("x", 1, 4.0, None), ("y", 1, 4.0, None)]
+
+
+def test_structures_one_by_one(spark):
+    from lodestrand.functions import chemistry
+
+    def make():
+        return lambda s: {"reason": None, "heavy_atom_count": len(s), "standardized_smiles": s.upper()} if s != "x" else 1 / 0
+
+    got = {r["s"]: r for r in chemistry.per_structure(spark.createDataFrame([("a",), ("a",), ("x",), (None,), ("",)], "s string"), "s", make, chemistry.STANDARD).collect()}
+    assert set(got) == {"a", "x", ""} and got["a"]["standardized_smiles"] == "A" and got["x"]["reason"] == "error:ZeroDivisionError" and got[""]["heavy_atom_count"] == 0
+    assert [x.split()[0] for x in chemistry._fields(chemistry.GRAPH)] == ["atoms", "bonds", "n_atoms", "n_bonds", "reason"]
+
+
+def test_family_rules_and_flags(spark):
+    df = spark.createDataFrame([("p38-alpha",), ("DNA-PK",), ("Aurora/A",), ("xyz",), (None,)], "n string")
+    got = [tuple(r) for r in df.select(labels.first_rule(labels.normalized_name(F.col("n"))).alias("r")).select("r.family", "r.provenance").collect()]
+    assert got == [("CMGC", "name_match:P38"), ("PIKK", "name_match:DNA PK"), ("CAMK", "name_match:AUR"), ("Unclassified", "name_match:unclassified"), ("Unclassified", "name_match:unclassified")]
+    f = spark.createDataFrame([(" Yes ",), ("0.5",), ("0",), ("no",), ("maybe",), (None,)], "f string")
+    assert [tuple(r) for r in f.select(labels.truthy(F.col("f")), labels.strict_boolean(F.col("f"))).collect()] == [(True, True), (True, None), (False, False), (False, False), (False, None), (False, None)]
+    x = spark.createDataFrame([(1, None, 3)], "b int, a int, c int")
+    assert clean.ordered_columns(x, ["c", "z", "c"]).columns == ["c", "a", "b"]
+    assert clean.with_defaults(x, {"a": 7, "d": "q"}).first().asDict() == {"b": 1, "a": 7, "c": 3, "d": "q"}
+    assert x.select(clean.first_present_column(x, ["z", "a", "b"]).alias("v")).first()["v"] is None

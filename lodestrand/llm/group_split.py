@@ -101,3 +101,19 @@ def scaffold_split(compounds: DataFrame, shares: dict[str, float] | None = None,
     groups = ws.cut(members.groupBy("component").agg(F.count("*").alias("n")), "groups")
     labels = assign_splits(spark, groups, shares)
     return members.join(labels, "component").select(F.col("id").alias("screening_compound_id"), F.lit("scaffold").alias("split_strategy"), "split_label")
+
+
+def split_errors(compounds: DataFrame, labels: DataFrame, shares: dict[str, float] | None = None, workspace: Workspace | None = None) -> DataFrame:
+    """One row: compounds, those with a label, compounds with two rows, related sets under several labels, and whether each
+    share is within the largest set's share of what was asked for."""
+    shares = shares or {"train": 0.8, "valid": 0.1, "test": 0.1}
+    ws = workspace or Workspace(compounds.sparkSession, "errors")
+    members = compound_groups(compounds, ws)
+    x = members.join(labels.select(F.col("screening_compound_id").alias("id"), "split_label"), "id", "left")
+    sets = x.groupBy("component").agg(F.count("*").alias("n"), F.count_distinct("split_label").alias("labels"), F.count_distinct("id").alias("ids"), F.count("split_label").alias("labelled"), F.min("split_label").alias("label"))
+    total, largest = F.sum("n"), F.max("n")
+    near = [F.abs(F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)) / total - v) <= largest / total for k, v in shares.items()]
+    return sets.agg(
+        F.sum("ids").alias("n_compounds"), F.sum("labelled").alias("n_labelled"), F.sum(F.col("n") - F.col("ids")).alias("n_twice"), F.count_if(F.col("labels") > 1).alias("n_torn"),
+        (near[0] & near[1] & near[2]).alias("near_shares"),
+    )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import BLANKS, PLACEHOLDERS
 from ..session import Workspace, table
 from .abuse import rates, score_documents
-from .group_split import related_pairs, scaffold_split
+from .group_split import related_pairs, scaffold_split, split_errors
 from .leaks import LeakIndex
 from .overlap import cross_split_pairs, overlap_report
 from .packing import fill_report, pack, packing_errors
@@ -82,6 +82,12 @@ def p3_varied_tenth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return varied_subset(shortlist, -(-shortlist.count() // 10))
 
 
+def p3_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a subset of 48 must have: its size, as many scaffolds as there can be, no record twice."""
+    s = p3_varied_48(spark, sf_dir)
+    return s.agg(F.count("*").alias("n_rows"), F.count_distinct(F.coalesce("murcko_scaffold", F.lit(""))).alias("n_scaffolds"), (F.count("*") - F.count_distinct("entity_id")).alias("n_repeated"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_supported(table(spark, sf_dir, "curated_measurements"))
 
@@ -106,6 +112,26 @@ SELECT record_id FROM w WHERE n > 1 AND pKi IS NOT NULL AND NOT isnan(pKi) AND n
 """
 
 
+# Of each group: two candidate measurements of equal support, the identity that fits one of them best, the best origin that
+# does not contradict the number of source records.
+P4_SURVIVORS = P4[: P4.index("w AS (SELECT k.*")].replace("pKi, n_source_records AS ns, n_unique_assays AS na FROM", "pKi, n_source_records AS ns, n_unique_assays AS na, * EXCLUDE (record_id, pKi) FROM") + """
+x AS (SELECT k.*, g, pKi IS NOT NULL AND NOT isnan(pKi) AS p, pKi_std IS NOT NULL AND NOT isnan(pKi_std) AS d, coalesce(abs(9.0 - log10(CASE WHEN median_ki_nM > 0 THEN median_ki_nM END) - pKi) < 0.05, false) AS e,
+    CAST(c IS NOT NULL AS INTEGER) + CAST(s IS NOT NULL AS INTEGER) AS k, is_duplicate_measurement AS mark,
+    CAST(curation_source IS NOT NULL AS INTEGER) + CAST(is_duplicate_measurement IS NOT NULL AS INTEGER) + CAST(curated_at IS NOT NULL AS INTEGER) + CAST(loaded_at IS NOT NULL AS INTEGER) AS filled FROM k JOIN lab USING (record_id)),
+sizes AS (SELECT g, count(*) AS n_records FROM x GROUP BY g HAVING count(*) > 1),
+m AS (SELECT 1 AS m, x.* FROM x QUALIFY row_number() OVER (PARTITION BY g ORDER BY p DESC, ns DESC NULLS LAST, na DESC NULLS LAST, d DESC, e DESC, loaded_at DESC NULLS LAST, record_id) = 1
+    UNION ALL SELECT 2, x.* FROM x QUALIFY row_number() OVER (PARTITION BY g ORDER BY p DESC, ns DESC NULLS LAST, na DESC NULLS LAST, k DESC, d DESC, e DESC, loaded_at DESC NULLS LAST, record_id) = 1),
+i AS (SELECT * FROM (SELECT g, c, s, k, count(*) AS n, min(record_id) AS r FROM x GROUP BY g, c, s, k) QUALIFY row_number() OVER (PARTITION BY g ORDER BY k DESC, n DESC, r) = 1),
+options AS (SELECT g, 0 AS o, c, s, k, n, r FROM i UNION ALL SELECT g, m, c, s, k, 1, record_id FROM m),
+fit AS (SELECT m.g, m.m, m.record_id, m.ns, o.k, o.n, o.r FROM m JOIN options o ON m.g = o.g AND coalesce(m.c = o.c, true) AND coalesce(m.s = o.s, true) QUALIFY row_number() OVER (PARTITION BY m.g, m.m ORDER BY o.k DESC, o.n DESC, o.o) = 1),
+chosen AS (SELECT * FROM fit QUALIFY row_number() OVER (PARTITION BY g ORDER BY k DESC, n DESC, m) = 1),
+origins AS (SELECT x.g, x.record_id FROM x JOIN chosen ON x.g = chosen.g AND coalesce(mark = (chosen.ns > 1), true) QUALIFY row_number() OVER (PARTITION BY x.g ORDER BY filled DESC, curated_at DESC NULLS LAST, x.record_id) = 1)
+SELECT n_records, ch.record_id AS measurement_record, ch.r AS identity_record, o.record_id AS origin_record, a.t AS target, a.median_ki_nM, a.pKi, a.pKi_std, a.n_source_records, a.n_unique_assays, b.compound_id, b.standardized_smiles,
+    z.curation_source, z.is_duplicate_measurement, z.curated_at, z.loaded_at
+FROM chosen ch JOIN sizes USING (g) LEFT JOIN origins o ON ch.g = o.g JOIN x a ON a.record_id = ch.record_id JOIN x b ON b.record_id = ch.r LEFT JOIN x z ON z.record_id = o.record_id
+"""
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return related_pairs(table(spark, sf_dir, "environment_features"))
 
@@ -114,6 +140,11 @@ def p5_scaffold_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scaffold_split(table(spark, sf_dir, "environment_features"))
 
 
+def p5_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    compounds = table(spark, sf_dir, "environment_features")
+    return split_errors(compounds, scaffold_split(compounds))
+
+
 P5 = f"""
 WITH RECURSIVE r AS (SELECT DISTINCT screening_compound_id AS i, {_present('murcko_scaffold', True)} AS a, {_present('standardized_smiles')} AS b FROM environment_features WHERE screening_compound_id IS NOT NULL),
 node AS (SELECT i, 'a' || a AS x FROM r WHERE a IS NOT NULL UNION SELECT i, 'b' || b FROM r WHERE b IS NOT NULL),
@@ -146,6 +177,16 @@ eg AS (SELECT DISTINCT item_id, array_to_string(w[i:i+11], ' ') AS g FROM (SELEC
 SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)
 """
 
+P7_PROXIMITY = r"""
+WITH d AS (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents)),
+e AS (SELECT item_id, unnest(w) AS term, unnest(range(len(w))) AS ipos FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_passages)),
+n AS (SELECT term, count(*) AS n FROM d WHERE term IN (SELECT term FROM e) GROUP BY 1),
+top AS (SELECT item_id, term FROM (SELECT item_id, term, n, min(ipos) AS ipos FROM e JOIN n USING (term) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY n, ipos) <= 10),
+f AS (SELECT doc_id, item_id, count(DISTINCT term) OVER (PARTITION BY doc_id, item_id ORDER BY pos RANGE BETWEEN 39 PRECEDING AND CURRENT ROW) AS found FROM d JOIN top USING (term))
+SELECT doc_id, item_id, max(found) AS found FROM f WHERE found >= 6 GROUP BY ALL
+"""
+
+
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -178,7 +219,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_leaders, p2_found, p2_report, p3_varied_48, p3_varied_tenth, p4_found, p4_survivors, p5_found, p5_scaffold_split,
+        p1_found, p1_leaders, p2_found, p2_report, p3_varied_48, p3_varied_tenth, p3_errors, p4_found, p4_survivors, p5_found, p5_scaffold_split, p5_errors,
         p6_containers, p6_fill, p6_errors, p7_found, p7_proximity, p8_found, p8_scores, p8_rates,
     )
 }
@@ -187,8 +228,12 @@ SQL = {
     "p1_leaders": P1 + "SELECT target_chembl_id, screening_compound_id, score, tie, rank FROM ranked WHERE rank <= 5",
     "p2_found": P2 + "SELECT DISTINCT least(t, o) AS row_uid_a, greatest(t, o) AS row_uid_b FROM pairs",
     "p2_report": P2_REPORT,
+    "p3_errors": f"SELECT least(48, count(*)) AS n_rows, least(48, count(DISTINCT coalesce({_present('murcko_scaffold', True)}, ''))) AS n_scaffolds, 0 AS n_repeated FROM final_shortlist WHERE entity_id IS NOT NULL",
     "p4_found": P4,
+    "p4_survivors": P4_SURVIVORS,
     "p5_found": P5,
+    "p5_errors": "SELECT count(DISTINCT screening_compound_id) AS n_compounds, count(DISTINCT screening_compound_id) AS n_labelled, 0 AS n_twice, 0 AS n_torn, true AS near_shares FROM environment_features",
     "p6_errors": "SELECT count(*) FILTER (text <> '') AS n_texts, 0 AS n_overfull, count(*) FILTER (text <> '') AS n_packed, 0 AS n_torn FROM documents",
     "p7_found": P7,
+    "p7_proximity": P7_PROXIMITY,
 }

@@ -60,10 +60,29 @@ def sign_bits(vector: Column) -> Column:
     return F.when(F.size(vector) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(vector) - 1) / 64).cast("int")), word)).when(vector.isNotNull(), F.array(zero))
 
 
-def similar_pairs(items: DataFrame, group: str, item: str, bits: str, least: float, most_pairs: int | None = None, value: str | None = None, least_difference: float = 0.0) -> DataFrame:
+def set_bits(bits: Column) -> Column:
+    """Numbers of the bits that are set in an array of 64-bit words."""
+    word = lambda w, k: F.transform(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda j: F.call_function("shiftright", w, j).bitwiseAND(F.lit(1).cast("long")) == 1), lambda j: j + k * 64)
+    return F.flatten(F.transform(bits, word))
+
+
+def _by_prefix(items: DataFrame, group: str, bits: str, least: float, names: tuple[str, ...]) -> DataFrame:
+    """Items with the first of their bits, the rarest first, that any partner must share one of: of n bits, n - ceil(least n) + 1.
+    Only the counts of the bits, as many as the fingerprint is wide, come to the driver."""
+    x = items.withColumn("__set", set_bits(F.col(bits)))
+    counts = x.select(F.explode("__set").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()
+    rank = {r["t"]: i for i, r in enumerate(sorted(counts, key=lambda r: (r["n"], r["t"])))}
+    table = F.array(*[F.lit(rank.get(t, len(rank))) for t in range(max(rank, default=0) + 1)])
+    ranked = F.array_sort(F.transform("__set", lambda t: F.get(table, t)))
+    n = F.size("__set")
+    return x.withColumn("__prefix", F.slice(ranked, 1, F.greatest(n - F.ceil(n * F.lit(least) - F.lit(1e-9)).cast("int") + 1, F.lit(0)))).select(*names, "__prefix")
+
+
+def similar_pairs(items: DataFrame, group: str, item: str, bits: str, least: float, most_pairs: int | None = None, value: str | None = None, least_difference: float = 0.0, prefix: bool = False) -> DataFrame:
     """Pairs of a group with a Tanimoto similarity of `least` or more. With `value`, its absolute difference must be
     `least_difference` or more too, and comes out as `difference`: activity cliffs. Groups with more than `most_pairs` pairs are left out
-    before the join when that is asked for (a guard that the caller sets, not a default)."""
+    before the join when that is asked for (a guard that the caller sets, not a default). With `prefix` the join is on rare bits that
+    similar items must share, which is exact too, and spares most pairs where fingerprints are sparse and `least` is high."""
     if most_pairs is not None:
         n = F.count("*").over(W.partitionBy(group))
         items = items.withColumn("__n", n).where(F.col("__n") * (F.col("__n") - 1) / 2 <= most_pairs).drop("__n")
@@ -73,7 +92,12 @@ def similar_pairs(items: DataFrame, group: str, item: str, bits: str, least: flo
     a = x.select(group, F.col(item).alias("item_1"), F.col(bits).alias("b1"), F.col("__ones").alias("o1"), *([F.col(value).alias("v1")] if value else []))
     b = x.select(group, F.col(item).alias("item_2"), F.col(bits).alias("b2"), F.col("__ones").alias("o2"), *([F.col(value).alias("v2")] if value else []))
     close = (F.col("item_1") < F.col("item_2")) & (F.least("o1", "o2") >= F.lit(least) * F.greatest("o1", "o2"))
-    p = a.join(b, group).where(close)
+    if prefix and least > 0:
+        a, b = (_by_prefix(s, group, f"b{i}", least, tuple(s.columns)).withColumnRenamed("__prefix", f"p{i}").withColumn("t", F.explode(f"p{i}")) for i, s in ((1, a), (2, b)))
+        # A pair that shares several of them is taken at the first.
+        p = a.join(b, [group, "t"]).where(close & (F.array_min(F.array_intersect("p1", "p2")) == F.col("t")))
+    else:
+        p = a.join(b, group).where(close)
     if value:
         p = p.withColumn("difference", F.abs(F.col("v1") - F.col("v2"))).where((F.col("difference") >= least_difference) & ~F.isnan("difference"))
     return p.withColumn("similarity", tanimoto(F.col("b1"), F.col("b2"))).where(F.col("similarity") >= least).select(group, "item_1", "item_2", "similarity", *(["difference"] if value else []))

@@ -48,10 +48,14 @@ def applicability(items: DataFrame, reference: DataFrame, features: Sequence[str
 
 def capped(candidates: DataFrame, bucket: str, order: Sequence[str], exact: str, generic: str, exact_cap: int, generic_cap: int) -> DataFrame:
     """Greedy selection inside each bucket: in order, a row is kept unless its exact group already holds `exact_cap` kept
-    rows or its generic group `generic_cap`. Which row counts depends on what was kept before, so this is sequential;
-    a task holds the keys and order of one bucket's candidates only."""
+    rows or its generic group `generic_cap`. Which row counts depends on what was kept before, so this is sequential in a
+    bucket. A group that is full stays full, so of the rows with one exact and one generic group the kept ones come first: only as many
+    of them as the lesser cap can count, and a group limit leaves the others out before the shuffle. A task holds the
+    keys and order of what is left of one bucket: a few rows for each different scaffold, however crowded one is."""
     fields = [bucket, *order, exact, generic]
     schema = candidates.select(*fields).schema
+    first = F.row_number().over(W.partitionBy(bucket, exact, generic).orderBy(*order))
+    candidates = candidates.select(*fields).withColumn("__first", first).where(F.col("__first") <= min(exact_cap, generic_cap)).drop("__first")
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(list(order), kind="mergesort", ignore_index=True)

@@ -275,3 +275,30 @@ def test_family_rules_and_flags(spark):
     assert clean.ordered_columns(x, ["c", "z", "c"]).columns == ["c", "a", "b"]
     assert clean.with_defaults(x, {"a": 7, "d": "q"}).first().asDict() == {"b": 1, "a": 7, "c": 3, "d": "q"}
     assert x.select(clean.first_present_column(x, ["z", "a", "b"]).alias("v")).first()["v"] is None
+
+
+def test_similar_pairs_by_prefix(spark):
+    rng = random.Random(9)
+    base = [sorted(rng.sample(range(256), 30)) for _ in range(12)]
+    sets = [set(b) ^ set(rng.sample(range(256), rng.randrange(0, 6))) for b in base for _ in range(6)] + [set(), {1}, {1}]
+    word = lambda x: x - 2**64 if x >= 2**63 else x
+    rows = [("g" if i % 7 else "h", i, [word(sum(1 << b % 64 for b in s if b // 64 == w)) for w in range(4)]) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "g string, i int, b array<long>")
+    for least in (0.5, 0.8, 1.0):
+        a, b = (sorted((r["item_1"], r["item_2"], round(r["similarity"], 9)) for r in pairs.similar_pairs(df, "g", "i", "b", least, prefix=p).collect()) for p in (False, True))
+        want = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if (i % 7 == 0) == (j % 7 == 0) and len(sets[i] & sets[j]) >= least * max(1, len(sets[i] | sets[j]))]
+        assert a == b and [x[:2] for x in a] == want
+    assert pairs.similar_pairs(df.limit(0), "g", "i", "b", 0.8, prefix=True).count() == 0
+
+
+def test_caps_against_one_pass(spark):
+    rng = random.Random(10)
+    rows = [(rng.choice("xy"), i, rng.choice("abc"), rng.choice("pq")) for i in range(300)]
+    got = {(r["k"], r["o"]) for r in shortlist.capped(spark.createDataFrame(rows, "k string, o int, e string, g string"), "k", ["o"], "e", "g", 3, 5).collect()}
+    want, seen = set(), {}
+    for k, o, e, g in rows:
+        if seen.get((k, "e", e), 0) < 3 and seen.get((k, "g", g), 0) < 5:
+            want.add((k, o))
+            for key in ((k, "e", e), (k, "g", g)):
+                seen[key] = seen.get(key, 0) + 1
+    assert got == want

@@ -298,7 +298,7 @@ def _met(a: Texts, chunks: list[np.ndarray], b: Texts, limits: Limits, keep_run,
             j = end
 
 
-def near_records(records: DataFrame, workspace: Workspace, share: float = 0.1, sample: int = 50_000, postings: int = 1_000_000) -> DataFrame:
+def near_records(records: DataFrame, workspace: Workspace, share: float = 0.1, sample: int = 50_000, postings: int = 1_500_000) -> DataFrame:
     """(id_a < id_b, distance) of all different texts of `records` (id, record) within an edit distance of `share` of the longer.
 
     A text is cut into one chunk more than any partner's allowed edits, at places that its content decides: of all ways to
@@ -310,7 +310,7 @@ def near_records(records: DataFrame, workspace: Workspace, share: float = 0.1, s
 
     With the columns `train` and `other` (sets of up to 64 places, as bits) a pair is compared only where one side's `train`
     and the other side's `other` share a place, in tasks of their own for each place. A task gets a range of digests with about
-    `postings` runs, whatever the size of a place, and digests that are held more often than that are salted. Null and
+    `postings` runs and chunks, whatever the size of a place, and digests that are held more often than that are salted. Null and
     empty texts match nothing. Work grows with the number of runs that meet a chunk, so with the square of a place's
     texts once all short chunks there can be have come up.
     """
@@ -327,17 +327,17 @@ def near_records(records: DataFrame, workspace: Workspace, share: float = 0.1, s
         held, runs = np.zeros(1 << SLOT_BITS, np.int32), np.zeros(64, np.int64)
         for batch in batches:
             t = Texts.of(batch.column("record"))
-            places = batch.column("other").to_numpy().view(np.uint8).reshape(-1, 8)
-            places = np.unpackbits(places, axis=1, bitorder="little")
+            train, places = (np.unpackbits(batch.column(c).to_numpy().view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") for c in ("train", "other"))
+            runs += np.where(limits.chunk[t.size] > 0, limits.most[t.size] + 1, 0) @ train.astype(np.int64)
             for q in limits.lengths():
-                which = np.flatnonzero(limits.asked(q)[t.size])
+                which = np.flatnonzero(limits.asked(q)[t.size] & places.any(1))
                 owner, run = t.places(which, int(q))
                 digest = t.digests(int(q))[t.begin[which][owner] + run]
                 held += np.bincount((digest >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=len(held)).astype(np.int32)
                 runs += np.maximum(0, t.size[which] - q + 1) @ places[which].astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([held.tobytes()]), pa.array([runs.tobytes()])], names=["held", "runs"])
 
-    drawn = records.where((F.pmod("id", F.lit(every)) == 0) & (F.col("other") != 0)).select("record", "other").coalesce(4)
+    drawn = records.where((F.pmod("id", F.lit(every)) == 0) & ((F.col("train") != 0) | (F.col("other") != 0))).select("record", "train", "other").coalesce(4)
     held, runs = np.zeros(1 << SLOT_BITS, np.int64), np.zeros(64, np.int64)
     for r in drawn.mapInArrow(count, "held binary, runs binary").toLocalIterator():
         held += np.frombuffer(r["held"], np.int32)

@@ -198,9 +198,10 @@ def edit_distances(a: Texts, b: Texts, i: np.ndarray, j: np.ndarray, k: np.ndarr
         n = int(lb[-1])
 
         def rows(t: Texts, which: np.ndarray, shift: int, height: int, end: int) -> np.ndarray:
-            place = np.arange(height)[:, None] - shift
-            c = t.codes[np.minimum(t.begin[which] + np.maximum(place, 0), len(t.codes) - 1)]
-            return np.where((place >= 0) & (place < t.size[which]), c, end).astype(kind)
+            place = np.arange(-shift, height - shift)[:, None]
+            c = t.codes.take(t.begin[which] + place, mode="clip").astype(kind)
+            c[(place < 0) | (place >= t.size[which])] = end
+            return c
 
         p, q = rows(a, i[mine], top, n + 2 * top + 1, ends[0]), rows(b, j[mine], 0, n, ends[1])
         cells = np.repeat(np.clip(np.arange(-top, top + 1), 0, None)[:, None], len(mine), 1)
@@ -237,7 +238,7 @@ def edit_distances(a: Texts, b: Texts, i: np.ndarray, j: np.ndarray, k: np.ndarr
     return found
 
 
-def _met(a: Texts, chunks: list[np.ndarray], b: Texts, limits: Limits, keep_run, keep_chunk, rows: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _met(a: Texts, chunks: list[np.ndarray], b: Texts, limits: Limits, keep_run, keep_chunk, rows: int = 250_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(a, b, allowed edits) of texts where a run of b equals a chunk of a, at places that allow the edits, and whose
     characters and words differ by no more than these edits can explain."""
     bag_a, bag_b = _bags(a), _bags(b)
@@ -257,6 +258,7 @@ def _met(a: Texts, chunks: list[np.ndarray], b: Texts, limits: Limits, keep_run,
         key = (digest & low) | place(run)
         order = np.argsort(key)
         key, owner, run = key[order], owner[order], run[order].astype(np.int32)
+        behind = b.size[owner].astype(np.int32) - run
         mine = limits.chunk[a.size[every]] == q
         text, at = every[mine], start[mine]
         digest = a.digests(q)[a.begin[text] + at] if len(text) else np.zeros(0, np.uint64)
@@ -272,21 +274,26 @@ def _met(a: Texts, chunks: list[np.ndarray], b: Texts, limits: Limits, keep_run,
         text, at, lo, n = text[some].astype(np.int32), at[some].astype(np.int32), lo[some], n[some]
         size_a, size_b = a.size.astype(np.int32), b.size.astype(np.int32)
         edits = limits.edits.astype(np.int32)
+        after, most = size_a[text] - at, limits.most[a.size[text]].astype(np.int32)
         # A chunk that meets more runs than `rows` is taken in parts.
         parts = -(-n // rows)
         if (parts > 1).any():
             part, i = spread(parts)
-            text, at, lo, n = text[part], at[part], lo[part] + i * rows, np.minimum(rows, n[part] - i * rows)
+            text, at, after, most, lo, n = text[part], at[part], after[part], most[part], lo[part] + i * rows, np.minimum(rows, n[part] - i * rows)
         total = np.concatenate([[0], np.cumsum(n)])
         j = 0
         while j < len(n):
             end = max(j + 1, int(np.searchsorted(total, total[j] + rows, "right")) - 1)
-            chunk, i = spread(n[j:end])
-            run_no = lo[j:end][chunk] + i
-            x, y = text[j:end][chunk], owner[run_no]
-            ahead, longer = run[run_no] - at[j:end][chunk], size_b[y] - size_a[x]
+            of = n[j:end]
+            run_no = np.repeat((lo[j:end] - (total[j:end] - total[j])).astype(np.int32), of)
+            run_no += np.arange(len(run_no), dtype=np.int32)
+            # The shift of the run in front of it, and behind it, are edits of their own.
+            shift = np.abs(run[run_no] - np.repeat(at[j:end], of))
+            shift += np.abs(behind[run_no] - np.repeat(after[j:end], of))
+            ok = np.flatnonzero(shift <= np.repeat(most[j:end], of))
+            x, y = np.repeat(text[j:end], of)[ok], owner[run_no[ok]]
             k = edits[np.maximum(size_a[x], size_b[y])]
-            ok = np.abs(ahead) + np.abs(longer - ahead) <= k
+            ok = shift[ok] <= k
             x, y, k = x[ok], y[ok], k[ok]
             miss = _bag_miss(bag_a[0][x], bag_b[0][y])
             ok = (miss <= k) & (miss + bag_b[1][y] - bag_a[1][x] <= k)

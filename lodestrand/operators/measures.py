@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -44,10 +43,13 @@ def aggregate_duplicates(df: DataFrame, keys: Sequence[str], ki: str, pki: str,
 
 
 def target_summary(fact: DataFrame, target: str, compound: str, value: str, support: str) -> DataFrame:
-    return fact.groupBy(target).agg(
-        F.count("*").alias("n_records"), F.count_distinct(compound).alias("n_compounds"), F.median(value).alias("median"),
+    from .windows import joined, medians
+
+    out = fact.groupBy(target).agg(
+        F.count("*").alias("n_records"), F.count_distinct(compound).alias("n_compounds"),
         F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"), F.sum(support).alias("support"),
     )
+    return joined(out, medians(fact, value, "median", [target]), [target]).select(target, "n_records", "n_compounds", "median", "std", "support")
 
 
 def panel(summary: DataFrame, min_records: int, min_compounds: int) -> DataFrame:
@@ -92,13 +94,12 @@ def overlap(fact: DataFrame, item: str, group: str) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row per column: count, min, max, mean, median, population spread."""
-    one = [
-        df.agg(F.count(known(c)).alias("n"), F.min(known(c)).alias("min"), F.max(known(c)).alias("max"), F.avg(known(c)).alias("mean"), F.median(known(c)).alias("median"), F.stddev_pop(known(c)).alias("std"))
-        .select(F.lit(c).alias("column_name"), "*")
-        for c in columns
-    ]
-    return reduce(DataFrame.unionByName, one)
+    """One row per column: count, min, max, mean, median, population spread; none for a table without rows."""
+    from .windows import joined, medians
+
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), known(c).alias("v")) for c in columns])).alias("x")).select("x.*")
+    out = long.groupBy("column_name").agg(F.count("v").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+    return joined(out, medians(long, "v", "median", ["column_name"]), ["column_name"]).select("column_name", "n", "min", "max", "mean", "median", "std")
 
 
 def value_counts(df: DataFrame, column: str, missing: str = "missing") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .windows import with_average_rank
+from .windows import joined, medians, with_average_rank, with_running_sums
 
 
 def regression_metrics(df: DataFrame, by: Sequence[str], y: str = "observed", p: str = "predicted") -> DataFrame:
@@ -25,11 +25,13 @@ def regression_metrics(df: DataFrame, by: Sequence[str], y: str = "observed", p:
         var = F.sqrt((F.avg(F.col(a) * F.col(a)) - F.avg(a) * F.avg(a)) * (F.avg(F.col(b) * F.col(b)) - F.avg(b) * F.avg(b)))
         return F.when((F.count("*") > 1) & (F.min(a) < F.max(a)) & (F.min(b) < F.max(b)), F.try_divide(F.avg(F.col(a) * F.col(b)) - F.avg(a) * F.avg(b), var))
 
-    return rows.groupBy(*by).agg(
-        F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.median(F.abs(e)).alias("median_ae"),
+    out = rows.groupBy(*by).agg(
+        F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"),
         F.when(F.min(y) < F.max(y), 1 - F.try_divide(F.sum(e * e), F.var_pop(y) * F.count("*"))).alias("r2"),
         corr(y, p).alias("pearson"), corr("__ry", "__rp").alias("spearman"),
     )
+    middle = medians(rows.withColumn("__ae", F.abs(e)), "__ae", "median_ae", by)
+    return joined(out, middle, by).select(*by, "n", "rmse", "mae", "median_ae", "r2", "pearson", "spearman")
 
 
 def classification_metrics(df: DataFrame, by: Sequence[str], y: str, score: str, threshold: float = 0.5, undefined: float | None = 0.0) -> DataFrame:
@@ -53,21 +55,26 @@ def classification_metrics(df: DataFrame, by: Sequence[str], y: str, score: str,
 def curve(df: DataFrame, by: Sequence[str], y: str, score: str) -> DataFrame:
     """ROC and precision-recall points, one per different score, from the highest down.
 
-    Scores are counted first, so the window runs over different scores, not rows."""
+    Scores are counted first, and summed up by ranges of the score, so no task sorts a group's scores."""
+    pts = _points(df, by, y, score)
+    tp, fp = F.col("run_p"), F.col("run_n")
+    return pts.select(*by, F.col(score).alias("threshold"), "p", "n", F.try_divide(tp, "all_p").alias("tpr"), F.try_divide(fp, "all_n").alias("fpr"), F.try_divide(tp, tp + fp).alias("precision"))
+
+
+def _points(df: DataFrame, by: Sequence[str], y: str, score: str) -> DataFrame:
     counts = df.where(F.col(y).isNotNull() & F.col(score).isNotNull()).groupBy(*by, score).agg(F.sum(y).alias("p"), F.sum(1 - F.col(y)).alias("n"))
-    w = W.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0)
-    all_ = W.partitionBy(*by)
-    tp, fp = F.sum("p").over(w), F.sum("n").over(w)
-    return counts.select(
-        *by, F.col(score).alias("threshold"), "p", "n", F.try_divide(tp, F.sum("p").over(all_)).alias("tpr"), F.try_divide(fp, F.sum("n").over(all_)).alias("fpr"), F.try_divide(tp, tp + fp).alias("precision"),
-    )
+    return with_running_sums(counts, score, ["p", "n"], by)
 
 
 def ranking_quality(df: DataFrame, by: Sequence[str], y: str, score: str) -> DataFrame:
     """ROC-AUC with ties counted half, average precision, and the trapezoid area of the precision-recall points from
     precision 1 on; null where one class is absent."""
-    w = W.partitionBy(*by).orderBy(F.desc("threshold"))
-    pts = curve(df, by, y, score).withColumns({"tpr0": F.coalesce(F.lag("tpr").over(w), F.lit(0.0)), "fpr0": F.coalesce(F.lag("fpr").over(w), F.lit(0.0)), "pr0": F.coalesce(F.lag("precision").over(w), F.lit(1.0))})
+    # The point before a row is the sums without the row.
+    tp, fp, tp0, fp0 = F.col("run_p"), F.col("run_n"), F.col("run_p") - F.col("p"), F.col("run_n") - F.col("n")
+    pts = _points(df, by, y, score).select(
+        *by, "p", "n", F.try_divide(tp, "all_p").alias("tpr"), F.try_divide(fp, "all_n").alias("fpr"), F.try_divide(tp, tp + fp).alias("precision"),
+        F.try_divide(tp0, "all_p").alias("tpr0"), F.try_divide(fp0, "all_n").alias("fpr0"), F.coalesce(F.try_divide(tp0, tp0 + fp0), F.lit(1.0)).alias("pr0"),
+    )
     both = (F.sum("p") > 0) & (F.sum("n") > 0)
     return pts.groupBy(*by).agg(
         F.when(both, F.sum((F.col("fpr") - F.col("fpr0")) * (F.col("tpr") + F.col("tpr0")) / 2)).alias("roc_auc"),

@@ -60,6 +60,37 @@ def with_place(df: DataFrame, value: str, ties: Sequence[Column], out: str, n: s
     return x.withColumns({out: F.when(F.col(value).isNotNull(), F.col("__before") + inside), n: F.col("__n")}).drop("__b", "__before", "__n")
 
 
+def medians(df: DataFrame, value: str, out: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, out): each group's exact median of the non-null values, by places counted in ranges, so that no task holds the values
+    of a group. Groups without a value do not come out."""
+    x = with_place(df.select(*by, value), value, [], "__i", "__many", by)
+    middle = x.where((F.col("__i") * 2 >= F.col("__many")) & (F.col("__i") * 2 <= F.col("__many") + 2))
+    return middle.groupBy(*by).agg(F.avg(value).alias(out))
+
+
+def joined(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
+    """A left join on group keys, null keys being equal; one-row tables where there are none."""
+    if not by:
+        return left.join(right, F.lit(True), "left")
+    side = right.select(*[F.col(c).alias(f"__g_{c}") for c in by], *[c for c in right.columns if c not in by])
+    on = [F.col(c).eqNullSafe(F.col(f"__g_{c}")) for c in by]
+    return left.join(side, on, "left").drop(*[f"__g_{c}" for c in by])
+
+
+def with_running_sums(df: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """`df`, one row for each value of a group, with `run_` + name: the sum from the highest value down to the row's, and `all_` + name. Sums
+    are taken by ranges of the value first, so that what is sorted together is one range of one group."""
+    x = df.withColumn("__b", -value_bucket(F.col(value).cast("double")))
+    part = [*by, "__b"]
+    totals = x.groupBy(*part).agg(*[F.sum(c).alias(f"__t_{c}") for c in sums])
+    whole = W.partitionBy(*by)
+    upto = whole.orderBy("__b").rowsBetween(W.unboundedPreceding, 0)
+    totals = totals.select(*part, *[(F.sum(f"__t_{c}").over(upto) - F.col(f"__t_{c}")).alias(f"__before_{c}") for c in sums], *[F.sum(f"__t_{c}").over(whole).alias(f"all_{c}") for c in sums])
+    inside = W.partitionBy(*part).orderBy(F.col(value).desc()).rowsBetween(W.unboundedPreceding, 0)
+    x = joined(x, totals, part)
+    return x.withColumns({f"run_{c}": F.col(f"__before_{c}") + F.sum(c).over(inside) for c in sums}).drop("__b", *[f"__before_{c}" for c in sums])
+
+
 def quantile_bin(place: Column, n: Column, bins: int = 5) -> Column:
     """Bin 0..bins-1 of a place 1..n, with edges at linear quantiles of the places (not equal to ntile)."""
     q = F.least(F.lit(bins), n)

@@ -302,3 +302,18 @@ def test_caps_against_one_pass(spark):
             for key in ((k, "e", e), (k, "g", g)):
                 seen[key] = seen.get(key, 0) + 1
     assert got == want
+
+
+def test_medians_and_running_sums_by_ranges(spark):
+    import statistics
+
+    rng = random.Random(12)
+    data = [(rng.choice(["a", "b", None]), rng.choice([None, *(x / 8 for x in range(-20, 40))]), rng.randrange(5)) for _ in range(500)] + [("empty", None, 1)]
+    df = spark.createDataFrame(data, "g string, v double, n int")
+    got = {r["g"]: r["m"] for r in windows.medians(df, "v", "m", ["g"]).collect()}
+    assert got == {g: statistics.median(v for h, v, _ in data if h == g and v is not None) for g in ("a", "b", None)}
+    assert windows.medians(df, "v", "m").collect()[0]["m"] == statistics.median(v for _, v, _ in data if v is not None)
+    one = df.where("v IS NOT NULL").groupBy("g", "v").agg(F.sum("n").alias("n"))
+    for r in windows.with_running_sums(one, "v", ["n"], ["g"]).collect():
+        mine = [(v, n) for g, v, n in data if g == r["g"] and v is not None]
+        assert r["run_n"] == sum(n for v, n in mine if v >= r["v"]) and r["all_n"] == sum(n for _, n in mine)

@@ -94,11 +94,12 @@ def overlap(fact: DataFrame, item: str, group: str) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row per column: count, min, max, mean, median, population spread; none for a table without rows."""
+    """One row per column: count, min, max, mean, median, population spread."""
     from .windows import joined, medians
 
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), known(c).alias("v")) for c in columns])).alias("x")).select("x.*")
-    out = long.groupBy("column_name").agg(F.count("v").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+    whole = df.agg(*[F.struct(F.count(known(c)).alias("n"), F.min(known(c)).alias("min"), F.max(known(c)).alias("max"), F.avg(known(c)).alias("mean"), F.stddev_pop(known(c)).alias("std")).alias(f"s{i}") for i, c in enumerate(columns)])
+    out = whole.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"s{i}").alias("s")) for i, c in enumerate(columns)])).alias("x")).select("x.column_name", "x.s.*")
     return joined(out, medians(long, "v", "median", ["column_name"]), ["column_name"]).select("column_name", "n", "min", "max", "mean", "median", "std")
 
 

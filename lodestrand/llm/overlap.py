@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import BLANKS, PLACEHOLDERS, present
 from ..session import Workspace
+from .components import contract
 from .near import Texts, mixed, near_records, spread
 
-__all__ = ["cross_split_pairs", "labelled_rows", "near_records", "overlap_fractions", "overlap_report"]
+__all__ = ["cross_split_pairs", "labelled_rows", "near_records", "overlap_fractions", "overlap_report", "structure_classes"]
 
 
 def with_largest_component(df: DataFrame, smiles: str, out: str) -> DataFrame:
@@ -54,8 +55,9 @@ def _written(splits: DataFrame, ws: Workspace) -> DataFrame:
     return ws.cut(rows, "rows", compression="zstd").where(USABLE)
 
 
-def _row_pairs(rows: DataFrame, ws: Workspace) -> DataFrame:
-    """Pairs of written rows; see cross_split_pairs."""
+def _near(rows: DataFrame, ws: Workspace) -> DataFrame:
+    """Both ways of the near-equal structures (id_a, id_b) of written rows. Places are told apart by 64 buckets here, so that
+    pairs may be among them that share no place; joins on the place leave them out."""
     bit = F.expr("shiftleft(1L, CAST(pmod(xxhash64(place), 64) AS INT))")
     places = [F.bit_or(F.when(F.col("label") == x, bit).otherwise(F.lit(0).cast("long")) if x else F.when(F.col("label") != "train", bit).otherwise(F.lit(0).cast("long"))).alias(c) for c, x in (("train", "train"), ("other", None))]
     records = ws.cut(rows.where("id IS NOT NULL").groupBy("id", "record").agg(*places), "records", compression="zstd")
@@ -63,7 +65,11 @@ def _row_pairs(rows: DataFrame, ws: Workspace) -> DataFrame:
         raise RuntimeError("two structures have the same 64-bit digest; number them with another seed")
     near = ws.cut(near_records(records, ws).select("id_a", "id_b"), "near")
     ws.drop("records")
-    ways = near.unionByName(near.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b")))
+    return near.unionByName(near.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b")))
+
+
+def _row_pairs(rows: DataFrame, ways: DataFrame) -> DataFrame:
+    """Pairs of written rows; see cross_split_pairs."""
     keys = lambda side, name: side.select(
         F.col("row_uid").alias(name), F.explode(F.array(F.when(F.col("compound").isNotNull(), _digests(F.lit("c"), "place", "compound")), F.when(F.col("id").isNotNull(), _digests(F.lit("s"), "place", "id")))).alias("k")
     ).where("k IS NOT NULL").select(name, "k.*")
@@ -81,7 +87,29 @@ def cross_split_pairs(splits: DataFrame, workspace: Workspace | None = None) ->
     digests of place and compound, or place and structure; adaptive execution splits the keys that hold most of the rows.
     """
     ws = workspace or Workspace(splits.sparkSession, "overlap")
-    return _row_pairs(_written(splits, ws), ws)
+    rows = _written(splits, ws)
+    return _row_pairs(rows, _near(rows, ws))
+
+
+def structure_classes(splits: DataFrame, workspace: Workspace | None = None) -> DataFrame:
+    """(structure, class_structure, n_links, n_rows): one row for each structure of labelled rows, with the least structure of its
+    class, the number of other structures that it nearly equals across the splits of a place, and its rows. A family of near-copies is one
+    class, however many pairs it has. Structures are compared by their longest component, case-sensitively; rows without
+    one do not take part; an empty table gives no rows."""
+    ws = workspace or Workspace(splits.sparkSession, "classes")
+    rows = _written(splits, ws).where("id IS NOT NULL")
+    held = rows.groupBy("id").agg(F.min("record").alias("structure"), F.count("*").alias("n_rows"))
+    at = lambda cond, name: rows.where(cond).select("place", F.col("id").alias(name)).distinct()
+    met = at("label = 'train'", "id_a").join(_near(rows, ws), "id_a").join(at("label <> 'train'", "id_b"), ["place", "id_b"])
+    links = ws.cut(met.select(F.least("id_a", "id_b").alias("u"), F.greatest("id_a", "id_b").alias("v")).distinct(), "links")
+    counts = links.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
+    out = ws.cut(held.join(counts, "id", "left"), "held")
+    roots = contract(links, ws)
+    if roots is None:
+        return out.select("structure", F.col("structure").alias("class_structure"), F.lit(0).cast("long").alias("n_links"), "n_rows")
+    out = out.join(roots.select(F.col("vertex").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    least = out.groupBy("root").agg(F.min("structure").alias("class_structure"))
+    return out.join(least, "root").select("structure", "class_structure", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_rows")
 
 
 def content_chunks(texts: pa.Array, divisor: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -137,7 +165,7 @@ def overlap_report(splits: DataFrame, workspace: Workspace | None = None) -> Dat
     Rows that repeat one by compound only, and whose structures are missing or share no chunk, count as 0."""
     ws = workspace or Workspace(splits.sparkSession, "overlap")
     rows = _written(splits, ws)
-    pairs = ws.cut(_row_pairs(rows, ws), "pairs")
+    pairs = ws.cut(_row_pairs(rows, _near(rows, ws)), "pairs")
     ids = rows.select("row_uid", "id")
     known = (
         pairs.join(ids.select(F.col("row_uid").alias("train_uid"), F.col("id").alias("id_a")), "train_uid")

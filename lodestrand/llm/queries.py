@@ -10,7 +10,7 @@ from ..session import Workspace, table
 from .abuse import rates, score_documents
 from .group_split import related_pairs, scaffold_split, split_errors
 from .leaks import LeakIndex
-from .overlap import cross_split_pairs, overlap_report
+from .overlap import cross_split_pairs, overlap_report, structure_classes
 from .packing import fill_report, pack, packing_errors
 from .survivors import best_supported, surviving_records
 from .top_n import top_n_per_group
@@ -60,6 +60,22 @@ pairs AS (SELECT a.row_uid AS t, b.row_uid AS o FROM k a JOIN k b ON a.p = b.p A
     OR (abs(length(a.s) - length(b.s)) * 10 <= greatest(length(a.s), length(b.s)) AND levenshtein(a.s, b.s) * 10 <= greatest(length(a.s), length(b.s))))
 """
 
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure_classes(table(spark, sf_dir, "split_assignments"))
+
+
+P2_CLASSES = P2[: P2.index("pairs AS (")].replace("WITH r AS", "WITH RECURSIVE r AS", 1) + """
+u AS (SELECT * FROM k WHERE row_uid IS NOT NULL AND s IS NOT NULL AND p IS NOT NULL),
+l AS (SELECT DISTINCT a.s AS a, b.s AS b FROM u a JOIN u b ON a.p = b.p AND a.label = 'train' AND b.label <> 'train' WHERE a.s <> b.s AND abs(length(a.s) - length(b.s)) * 10 <= greatest(length(a.s), length(b.s))
+    AND levenshtein(a.s, b.s) * 10 <= greatest(length(a.s), length(b.s))),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+reach AS (SELECT DISTINCT s AS a, s AS b FROM u UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a),
+cls AS (SELECT a, min(b) AS class_structure FROM reach GROUP BY 1),
+deg AS (SELECT a, count(*) AS n_links FROM e GROUP BY 1)
+SELECT s AS structure, class_structure, coalesce(n_links, 0) AS n_links, n_rows FROM (SELECT s, count(*) AS n_rows FROM u GROUP BY 1) JOIN cls ON cls.a = s LEFT JOIN deg ON deg.a = s
+"""
+
+
 # The rolling hash cuts behind the third character of a window; a chunk counts where the training structure has it too.
 P2_REPORT = P2.rstrip() + """,
 texts AS (SELECT DISTINCT s, list_transform(string_split(s, ''), lambda x: unicode(x)::BIGINT) AS u FROM k WHERE row_uid IN (SELECT t FROM pairs UNION SELECT o FROM pairs) AND s IS NOT NULL),
@@ -219,7 +235,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_leaders, p2_found, p2_report, p3_varied_48, p3_varied_tenth, p3_errors, p4_found, p4_survivors, p5_found, p5_scaffold_split, p5_errors,
+        p1_found, p1_leaders, p2_found, p2_report, p2_classes, p3_varied_48, p3_varied_tenth, p3_errors, p4_found, p4_survivors, p5_found, p5_scaffold_split, p5_errors,
         p6_containers, p6_fill, p6_errors, p7_found, p7_proximity, p8_found, p8_scores, p8_rates,
     )
 }
@@ -228,6 +244,7 @@ SQL = {
     "p1_leaders": P1 + "SELECT target_chembl_id, screening_compound_id, score, tie, rank FROM ranked WHERE rank <= 5",
     "p2_found": P2 + "SELECT DISTINCT least(t, o) AS row_uid_a, greatest(t, o) AS row_uid_b FROM pairs",
     "p2_report": P2_REPORT,
+    "p2_classes": P2_CLASSES,
     "p3_errors": f"SELECT least(48, count(*)) AS n_rows, least(48, count(DISTINCT coalesce({_present('murcko_scaffold', True)}, ''))) AS n_scaffolds, 0 AS n_repeated FROM final_shortlist WHERE entity_id IS NOT NULL",
     "p4_found": P4,
     "p4_survivors": P4_SURVIVORS,

@@ -57,6 +57,17 @@ def test_overlap_cases(spark):
     assert [(r["n_rows"], r["n_overlapping"]) for r in sorted(report, key=lambda r: r["label"])] == [(5, 4), (2, 1)]
 
 
+def test_a_family_is_one_class(spark):
+    rng = random.Random(21)
+    base = "".join(rng.choice("CNOSFclnos()=123[]@+") for _ in range(100))
+    family = sorted({edited(rng, base, 3) for _ in range(40)})
+    rows = [(f"r{i}", "train" if i % 2 else "test", None, s) for i, s in enumerate(family)] + [("x", "train", None, "zzz"), ("y", "test", None, "zzz"), ("z", "test", None, None)]
+    got = {r["structure"]: r for r in overlap.structure_classes(split_rows(spark, rows)).collect()}
+    assert set(got) == {*family, "zzz"} and {got[s]["class_structure"] for s in family} == {family[0]}
+    assert all(got[s]["n_links"] == 20 for s in family) and (got["zzz"]["n_links"], got["zzz"]["n_rows"], got["zzz"]["class_structure"]) == (0, 2, "zzz")
+    assert overlap.structure_classes(split_rows(spark, rows).limit(0)).count() == 0
+
+
 def test_overlap_report(spark):
     base = "".join(random.Random(3).choice("CNOSFclnos()=123[]@+") for _ in range(100))
     half = base[:50] + "q" * 50

@@ -277,7 +277,7 @@ def labelled_documents(documents: DataFrame, labels: DataFrame, most: int = 4000
 
 
 def threshold(scores: np.ndarray, y: np.ndarray) -> float:
-    """The score from which held-out documents agree best with their labels, by F1. Some labels are wrong, so cuts within one
+    """The score from which held-out documents agree best with their labels, by F1. Some labels are wrong, so cuts within half a
     standard error of the best F1 are as good; of these the one in the widest gap between scores is taken, at its middle."""
     order = np.argsort(-scores, kind="stable")
     down = scores[order]
@@ -285,7 +285,7 @@ def threshold(scores: np.ndarray, y: np.ndarray) -> float:
     f1 = 2 * hits / (np.arange(1, len(y) + 1) + max(1, y.sum()))
     best = float(f1.max())
     gap = down - np.append(down[1:], down[-1] - 1e-3)
-    k = int(np.argmax(np.where(f1 >= best - np.sqrt(best * (1 - best) / max(1, y.sum())), gap, -1)))
+    k = int(np.argmax(np.where(f1 >= best - np.sqrt(best * (1 - best) / max(1, y.sum())) / 2, gap, -1)))
     return float(down[k] - gap[k] / 2)
 
 

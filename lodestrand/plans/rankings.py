@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -29,6 +29,14 @@ def query(sql: str | None = None):
     return add
 
 
+# A mean whose sum does not depend on the order of the rows: decimal, with more digits than scores carry.
+MEAN = "CAST(sum(CAST(score AS DECIMAL(18,9))) AS DOUBLE) / count(score)"
+
+
+def mean_of(c: str) -> Column:
+    return F.try_divide(F.sum(F.col(c).cast("decimal(18,9)")).cast("double"), F.count(c))
+
+
 def scored(spark: SparkSession, d: str) -> DataFrame:
     """One row per (target, compound): the latest score, and its parts."""
     r = table(spark, d, "compound_target_ranking").select(
@@ -52,23 +60,23 @@ def target_rankings(spark: SparkSession, d: str) -> DataFrame:
     return rounded(s.select("target", "compound", windows.row_rank(order, ["target"]).alias("rank_in_target"), (F.col("place") / F.col("n")).alias("percent_rank"), "normalized"))
 
 
-@query(f"""WITH {SCORED}, g AS (SELECT target, count(*) AS n, max(score) AS best, median(score) AS median, avg(score) AS mean FROM scored GROUP BY 1), q AS (SELECT *, row_number() OVER (ORDER BY n DESC, target) AS i, count(*) OVER () AS m FROM g)
+@query(f"""WITH {SCORED}, g AS (SELECT target, count(*) AS n, max(score) AS best, median(score) AS median, {MEAN} AS mean FROM scored GROUP BY 1), q AS (SELECT *, row_number() OVER (ORDER BY n DESC, target) AS i, count(*) OVER () AS m FROM g)
 SELECT target, n, round(best, 6) AS best, round(median, 6) AS median, round(mean, 6) AS mean, CAST(greatest(ceil(5.0 * (i - 1) / (m - 1)) - 1, 0) AS INTEGER) AS size_bin FROM q""")
 def target_profile(spark: SparkSession, d: str) -> DataFrame:
     """Targets with their size bin; the window runs over targets, not rows."""
-    g = scored(spark, d).groupBy("target").agg(F.count("*").alias("n"), F.max("score").alias("best"), F.median("score").alias("median"), F.avg("score").alias("mean"))
+    g = scored(spark, d).groupBy("target").agg(F.count("*").alias("n"), F.max("score").alias("best"), F.median("score").alias("median"), mean_of("score").alias("mean"))
     b = windows.quantile_bin(windows.row_rank([F.col("n").desc(), F.col("target")]), F.count("*").over(W.partitionBy()))
     return rounded(g.withColumn("size_bin", b))
 
 
-@query(f"""WITH {SCORED}, b AS (SELECT compound, count(*) AS n_targets, round(max(score), 6) AS best, round(avg(score), 6) AS mean FROM scored GROUP BY 1), t AS (SELECT compound, target AS best_target FROM scored WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY compound ORDER BY score DESC, target) = 1)
+@query(f"""WITH {SCORED}, b AS (SELECT compound, count(*) AS n_targets, round(max(score), 6) AS best, round({MEAN}, 6) AS mean FROM scored GROUP BY 1), t AS (SELECT compound, target AS best_target FROM scored WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY compound ORDER BY score DESC, target) = 1)
 SELECT compound, n_targets, best, mean, best_target FROM b LEFT JOIN t USING (compound)""")
 def compound_rollup(spark: SparkSession, d: str) -> DataFrame:
     """Per compound its best target; equal scores go to the lesser name."""
     s = scored(spark, d)
     top = s.where("score IS NOT NULL").groupBy("compound").agg(F.max("score").alias("m"))
     best = s.join(top, "compound").where("score = m").groupBy("compound").agg(F.min("target").alias("best_target"))
-    return rounded(s.groupBy("compound").agg(F.count("*").alias("n_targets"), F.max("score").alias("best"), F.avg("score").alias("mean"))).join(best, "compound", "left")
+    return rounded(s.groupBy("compound").agg(F.count("*").alias("n_targets"), F.max("score").alias("best"), mean_of("score").alias("mean"))).join(best, "compound", "left")
 
 
 FAMILIES = ("classical", "deep", "causal")

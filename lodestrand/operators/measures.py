@@ -22,26 +22,49 @@ def round_half_away(c: Column, digits: int) -> Column:
     return F.when(F.isnan(c), c).otherwise(F.signum(c) * F.floor(F.abs(c) * scale + 0.5) / scale)
 
 
-def aggregate_duplicates(df: DataFrame, keys: Sequence[str], ki: str, pki: str, distinct: dict[str, str] | None = None) -> DataFrame:
-    """Per key: records, exact medians, spread (null for one record), distinct counts, and whether it was repeated.
-
-    One exchange by key serves all: windows mark the middle values and each first different value, and the aggregation
-    behind them needs no exchange. Sorts spill, so a key's rows need not fit into memory, as an exact percentile's would."""
+def aggregate_duplicates(df: DataFrame, keys: Sequence[str], ki: str, pki: str, distinct: dict[str, str] | None = None, hot_rows: int = 5_000_000) -> DataFrame:
+    """Per key: records, exact medians, spread (null for one record), distinct counts, and whether it was repeated. Null keys are keys.
+
+    One exchange by key serves all of it (see `_by_key`). Keys with more than `hot_rows` rows, which would make one task of
+    each, are told apart by a count with partial aggregation and take the way of `_by_ranges`; where there are none, adaptive
+    execution drops that branch. The result does not depend on the way."""
+    columns = dict.fromkeys([*keys, ki, pki, *(distinct or {}).values()])
+    rows = df.select(*columns)
+    many = df.groupBy(*keys).agg(F.count("*").alias("__rows")).where(F.col("__rows") > hot_rows).select(*[F.col(k).alias(f"__h_{k}") for k in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"__h_{k}")) for k in keys]
+    usual, hot = rows.join(many, same, "left_anti"), rows.join(many, same, "left_semi")
+    return _by_key(usual, keys, ki, pki, distinct or {}).unionByName(_by_ranges(hot, keys, ki, pki, distinct or {}))
+
+
+def _by_key(rows: DataFrame, keys: Sequence[str], ki: str, pki: str, distinct: dict[str, str]) -> DataFrame:
+    """Windows behind one exchange mark the middle values and each first different value, and the aggregation behind them needs no
+    exchange. Sorts spill, so a key's rows need not fit into memory, as an exact percentile's would."""
     w = W.partitionBy(*keys)
-    rows = df.select(*keys, *{ki: 0, pki: 0, **dict.fromkeys((distinct or {}).values())})
     for v in dict.fromkeys((ki, pki)):
         n, i = F.count(v).over(w), F.row_number().over(w.orderBy(F.col(v).asc_nulls_last()))
         rows = rows.withColumns({f"__n_{v}": n, f"__i_{v}": i})
-    for v in dict.fromkeys((distinct or {}).values()):
+    for v in dict.fromkeys(distinct.values()):
         before = F.lag(v).over(w.orderBy(F.col(v).asc_nulls_first()))
         rows = rows.withColumn(f"__new_{v}", F.when(F.col(v).isNotNull() & ~F.col(v).eqNullSafe(before), 1))
     middle = lambda v: F.avg(F.when((F.col(f"__i_{v}") * 2 >= F.col(f"__n_{v}")) & (F.col(f"__i_{v}") * 2 <= F.col(f"__n_{v}") + 2) & F.col(v).isNotNull(), F.col(v)))
     return rows.groupBy(*keys).agg(
         F.count("*").alias("n_records"), middle(ki).alias("median_ki"), middle(pki).alias("median_pki"), F.stddev_samp(pki).alias("std_pki"),
-        *[F.count(f"__new_{c}").alias(a) for a, c in (distinct or {}).items()],
+        *[F.count(f"__new_{c}").alias(a) for a, c in distinct.items()],
     ).withColumn("is_duplicate", F.col("n_records") > 1)
 
 
+def _by_ranges(rows: DataFrame, keys: Sequence[str], ki: str, pki: str, distinct: dict[str, str]) -> DataFrame:
+    """The same by partial aggregation: medians by ranges of the values, different values counted before they are shuffled by key."""
+    from .windows import joined, medians
+
+    out = rows.groupBy(*keys).agg(F.count("*").alias("n_records"), F.stddev_samp(pki).alias("std_pki"))
+    for v, name in ((ki, "median_ki"), (pki, "median_pki")):
+        out = joined(out, medians(rows, v, name, keys), keys)
+    for name, c in distinct.items():
+        out = joined(out, rows.where(F.col(c).isNotNull()).select(*keys, c).distinct().groupBy(*keys).agg(F.count("*").alias(name)), keys).withColumn(name, F.coalesce(name, F.lit(0)))
+    return out.select(*keys, "n_records", "median_ki", "median_pki", "std_pki", *distinct, (F.col("n_records") > 1).alias("is_duplicate"))
+
+
 def target_summary(fact: DataFrame, target: str, compound: str, value: str, support: str) -> DataFrame:
     from .windows import joined, medians
 

@@ -202,6 +202,9 @@ def test_medians_of_repeated_measurements(spark):
         k = [x[1] for x in mine if x[1] is not None]
         assert r["median_ki"] == (statistics.median(k) if k else None) and r["median_pki"] == statistics.median(x[2] for x in mine)
         assert r["n_s"] == len({x[3] for x in mine} - {None}) and r["n_records"] == len(mine)
+    same = lambda rs: sorted(((r["g"], r["n_records"], r["median_ki"], r["median_pki"], r["n_s"], r["is_duplicate"], r["std_pki"] and round(r["std_pki"], 9)) for r in rs), key=str)
+    for hot in (0, 4):
+        assert same(measures.aggregate_duplicates(spark.createDataFrame(rows, "g int, k double, p double, s string"), ["g"], "k", "p", {"n_s": "s"}, hot_rows=hot).collect()) == same(got.values())
 
 
 def test_value_ranges_keep_the_order(spark):

@@ -37,7 +37,11 @@ def applicability(items: DataFrame, reference: DataFrame, features: Sequence[str
     """Range violations and root mean square distance (in the reference's spreads, from its medians) of each item.
 
     The reference is one row of statistics, whatever its size, and joins as a broadcast of that one row."""
-    stats = reference.agg(*[f(c).alias(f"{n}_{c}") for c in features for n, f in (("lo", F.min), ("hi", F.max), ("md", F.median), ("sd", F.stddev_pop))])
+    from .windows import joined, medians
+
+    stats = reference.agg(*[f(c).alias(f"{n}_{c}") for c in features for n, f in (("lo", F.min), ("hi", F.max), ("sd", F.stddev_pop))])
+    for c in features:
+        stats = joined(stats, medians(reference, c, f"md_{c}"), [])
     x = items.crossJoin(F.broadcast(stats))
     out_of = sum((F.coalesce((F.col(c) < F.col(f"lo_{c}")) | (F.col(c) > F.col(f"hi_{c}")), F.lit(False)).cast("int") for c in features), F.lit(0))
     z = [F.when(F.col(f"sd_{c}") > 0, (F.col(c) - F.col(f"md_{c}")) / F.col(f"sd_{c}")) for c in features]

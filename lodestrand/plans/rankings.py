@@ -64,7 +64,9 @@ def target_rankings(spark: SparkSession, d: str) -> DataFrame:
 SELECT target, n, round(best, 6) AS best, round(median, 6) AS median, round(mean, 6) AS mean, CAST(greatest(ceil(5.0 * (i - 1) / (m - 1)) - 1, 0) AS INTEGER) AS size_bin FROM q""")
 def target_profile(spark: SparkSession, d: str) -> DataFrame:
     """Targets with their size bin; the window runs over targets, not rows."""
-    g = scored(spark, d).groupBy("target").agg(F.count("*").alias("n"), F.max("score").alias("best"), F.median("score").alias("median"), mean_of("score").alias("mean"))
+    s = scored(spark, d)
+    g = s.groupBy("target").agg(F.count("*").alias("n"), F.max("score").alias("best"), mean_of("score").alias("mean"))
+    g = windows.joined(g, windows.medians(s, "score", "median", ["target"]), ["target"]).select("target", "n", "best", "median", "mean")
     b = windows.quantile_bin(windows.row_rank([F.col("n").desc(), F.col("target")]), F.count("*").over(W.partitionBy()))
     return rounded(g.withColumn("size_bin", b))
 

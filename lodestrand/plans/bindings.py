@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ..session import table
 
 
-def obs(spark: SparkSession, d: str) -> DataFrame:
-    """Observations: line items as measurements of parts (compounds) against the supplier's nation (target)."""
-    li, s, n, p = (table(spark, d, t) for t in ("lineitem", "supplier", "nation", "part"))
+def obs(spark: SparkSession, d: str, **hints: str) -> DataFrame:
+    """Observations: line items as measurements of parts (compounds) against the supplier's nation (target). `hints`: a join hint for a table."""
+    li, s, n, p = (x.hint(hints[t]) if t in hints else x for t, x in ((t, table(spark, d, t)) for t in ("lineitem", "supplier", "nation", "part")))
     return (
         li.join(s, li.l_suppkey == s.s_suppkey).join(n, s.s_nationkey == n.n_nationkey).join(p, li.l_partkey == p.p_partkey)
         .select(
@@ -41,11 +41,11 @@ def fact(spark: SparkSession, d: str) -> DataFrame:
 FACT = OBS + """, fact AS (SELECT compound, target, median(ki) AS ki, median(pki) AS pki, count(*) AS n, count(DISTINCT assay) AS n_assays FROM obs GROUP BY 1, 2)"""
 
 
-def predictions(spark: SparkSession, d: str) -> DataFrame:
+def predictions(spark: SparkSession, d: str, **hints: str) -> DataFrame:
     """Observed and predicted values by model family, model and fold."""
     fam = F.create_map(*[F.lit(x) for x in ("A", "classical", "N", "deep", "R", "causal")])
     fold = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("assay").cast("string"), F.col("doc").cast("string"))), 1, 4), 16, 10).cast("int") % 5
-    return obs(spark, d).select(
+    return obs(spark, d, **hints).select(
         fam[F.col("source")].alias("family_name"), F.col("model"), fold.alias("fold"), "compound", "target", "family", "scaffold", "generic",
         F.log10("ki").alias("observed"), F.log10("estimate").alias("predicted"), (F.col("quantity") > 25).cast("int").alias("positive"),
         (F.col("ki") / 100000).alias("chance"), (F.col("discount") > 0.05).cast("int").alias("cliff"),

@@ -184,6 +184,7 @@ def regression_metrics_each(df: DataFrame, by: Sequence[str], groupings: Mapping
         cell = cell * F.lit(len(values)) + F.col(f"__c{i}") if i else cell
     data = ws.cut(coded.select(cell.alias("cell"), "y", "p"), "cells")
     ws.drop("rows")
+    ws.release()
 
     # Any cuts give the same result; these make ranges of about equal size.
     error = F.abs(F.col("y") - F.col("p"))
@@ -255,6 +256,7 @@ def regression_metrics_each(df: DataFrame, by: Sequence[str], groupings: Mapping
         g = np.flatnonzero(sums.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(g), *[pa.array(x[g]) for x in sums]], names=["g", "uw", "uu", "ww"])
 
+    ws.release()
     # Numbers of partitions are given, else few are made of what is small when compressed.
     wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
     x = data.mapInArrow(by_range, "cell long, y double, p double, at int").repartition(wide, "at").drop("at").sortWithinPartitions("y")
